@@ -55,7 +55,8 @@ def _windows(df: DataFrame, width: int) -> DataFrame:
     while step < width:
         df = _rolled(df, f"h{step}", step, f"h{2 * step}").drop(f"h{step}")
         step *= 2
-    return df.select("id", F.posexplode(f"h{width}").alias("pos", "h"))
+    # The outer form keeps Spark from testing the size of the array first, which would compute it several times.
+    return df.select("id", F.posexplode_outer(f"h{width}").alias("pos", "h")).filter("h IS NOT NULL")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, min_percent: int = MIN_PERCENT) -> DataFrame:

@@ -67,7 +67,7 @@ def _windows(min_words: int, rounds: int):
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(__uid, __doc, drop): the line numbers to delete of each document that has any. docs has __uid, doc_id and text."""
     at = F.transform(F.split("text", "\n", -1), lambda line, i: F.struct(i.alias("line_no"), line.alias("line")))
-    lines = docs.select("__uid", F.col("doc_id").alias("__doc"), F.posexplode(F.filter(at, lambda s: s.line.rlike(_WORD))).alias("pos", "s"))
+    lines = docs.select("__uid", F.col("doc_id").alias("__doc"), F.posexplode_outer(F.filter(at, lambda s: s.line.rlike(_WORD))).alias("pos", "s")).filter("pos IS NOT NULL")
     lines = materialize(lines.select(*_KEYS, "pos", "s.line_no", F.xxhash64("s.line").alias("lid"), F.length("s.line").alias("chars"), F.regexp_count("s.line", F.lit(_WORD)).alias("words")))
     first = materialize(_ranked(lines, ["lid"], "rank").distinct())
     rounds = max(0, min_words.bit_length() - 1)
