@@ -12,8 +12,8 @@ Verbatim copies are consistent by nature, re-parameterised questions are so too.
 
 Returns a row for each (doc_id, item_id) found: n_windows (matched, distinct), item_windows, n_slots (distinct pairs of values),
 n_changed (those that differ). Null texts hold no words, rows with null ids are skipped, repeated rows count once (also rows that
-share an id: their windows are joined), extra columns are ignored, empty tables give no rows. Whether a side is broadcast is left
-to Spark's own size check.
+share an id: their windows are joined), extra columns are ignored, empty tables give no rows. Benchmark windows are
+broadcast only after their number is checked; larger benchmarks take a shuffled join.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from brindle.llm.common import materialize
 
 MIN_PERCENT = 50
+#: So many window hashes (8 bytes each) of the benchmark are broadcast to sift those of the documents before any shuffle.
+BROADCAST_KEYS = 500_000
 #: Words taken as units after a number.
 UNITS = "km|m|cm|mm|mi|miles?|ft|feet|inch|inches|kg|g|mg|lbs?|pounds?|l|ml|hours?|minutes?|seconds?|days?|weeks?|months?|years?|dollars?|euros?|cents?|percent|usd|eur|mph|degrees?"
 _SPACE, _MARK = r"[\x20\x09-\x0D]", r"[\p{P}\p{S}&&[^<>%]]"
@@ -74,7 +76,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, min_percent: int = MIN_
         own = own.withColumn("slot", slot).withColumn("slots", values).filter(f"size(slots) <= {width // 2}").select(F.col("id").alias("item_id"), "h", "slots").distinct()
         own = own.join(own.groupBy("item_id").agg(F.count_distinct("h").alias("item_windows")), "item_id")
         share = min_percent if width == 8 else 100
-        hits = _windows(as_words, width).select(F.col("id").alias("doc_id"), "pos", "h").join(own, "h")
+        own = materialize(own)
+        hits = _windows(as_words, width).select(F.col("id").alias("doc_id"), "pos", "h")
+        keys = own.select("h").distinct()
+        if keys.count() <= BROADCAST_KEYS:  # beyond it, a shuffled join on the hash does it all
+            hits = hits.join(F.broadcast(keys), "h", "left_semi")
+        hits = hits.join(own, "h")
         hits = hits.select("doc_id", "item_id", "h", "pos", "slots", "item_windows", F.lit(share).alias("share"))
         found = hits if found is None else found.unionByName(hits)
     if found is None:
