@@ -42,6 +42,8 @@ MAX_MATCH = 4
 VERIFY_COST = 20
 #: Below this size the parities alone tell unrelated sets apart.
 PARITY_TELLS = 1200
+#: So many doc_ids (8 bytes each) at most are broadcast.
+BROADCAST_IDS = 1_000_000
 FLUSH_TOKENS = 3_000_000
 _MUL = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
@@ -208,7 +210,9 @@ def _verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> Da
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pdf.loc[keep, ["a", "b"]]
 
-    needed = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    needed = materialize(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct())
+    if needed.count() <= BROADCAST_IDS:  # spares the texts a shuffle; beyond it, the join is shuffled
+        needed = F.broadcast(needed)
     found = materialize(docs.select("doc_id", "text").join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInPandas(sets, "doc_id long, tokens binary"))
     a, b = found.select(F.col("doc_id").alias("a"), F.col("tokens").alias("ta")), found.select(F.col("doc_id").alias("b"), F.col("tokens").alias("tb"))
     return pairs.select("a", "b").join(b, "b").join(a, "a").select("a", "b", "ta", "tb").mapInPandas(compare, "a long, b long")
@@ -226,14 +230,14 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     classes = materialize(sized.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("class_id")))
     reps = classes.select(F.col("class_id").alias("doc_id"))
     prefixes = materialize(_prefixes(docs, width, percent, hot).join(reps, "doc_id", "left_semi"))
-    postings = prefixes.select("doc_id", "n", "m", F.explode("prefix").alias("token"))
+    postings = prefixes.select("doc_id", F.explode("prefix").alias("token"))
     shared = postings.groupBy("token").count().filter("count > 1").select("token")
     postings = materialize(postings.join(shared, "token", "left_semi"))
     # A prefix shingle that no other document has in its prefix is no shared one: "most" bounds what x can share with anyone.
-    lost = F.col("n") - F.expr(f"({percent} * n + 99) div 100") + F.col("m") - F.col("found")
-    bounds = postings.groupBy("doc_id").agg(F.count(F.lit(1)).alias("found"), F.first("n").alias("n"), F.first("m").alias("m"))
-    bounds = bounds.select("doc_id", (F.col("n") - lost).cast("int").alias("most"), "n").filter(f"100 * most >= {percent} * n").drop("n")
-    postings = materialize(postings.join(bounds.join(prefixes.select("doc_id", "parity"), "doc_id"), "doc_id"))
+    found = postings.groupBy("doc_id").agg(F.count(F.lit(1)).alias("found"))
+    most = F.expr(f"({percent} * n + 99) div 100") - F.col("m") + F.col("found")
+    info = prefixes.drop("prefix").join(found, "doc_id").select("doc_id", "n", "m", "parity", most.cast("int").alias("most"))
+    info = materialize(info.filter(f"100 * most >= {percent} * n"))
 
     def linkable(x: str, y: str):
         """Whether the pair can still reach the similarity, from both sizes, what each can share at most, and the bits in
@@ -249,19 +253,21 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
         after = F.greatest(*[F.floor((percent * n + 99) / 100) - m for n, m in ((n1, m1), (n2, m2))])
         return (shared >= F.least(m1, m2)) & ((shared + after) * (100 + percent) >= percent * (n1 + n2))
 
-    stars = [F.min(F.struct(F.xxhash64("token", "doc_id", F.lit(k)).alias("h"), "doc_id", "n", "m", "most", "parity")).alias(f"s{k}") for k in range(3)]
-    anchors = postings.groupBy("token").agg(*stars).select("token", F.explode(F.array_distinct(F.transform(F.array("s0", "s1", "s2"), lambda s: F.struct(s.doc_id.alias("doc_id"), s.n.alias("n"), s.m.alias("m"), s.most.alias("most"), s.parity.alias("parity"))))).alias("s"))
-    tied = postings.join(anchors, "token").filter((F.col("doc_id") != F.col("s.doc_id")) & linkable("", "s."))
-    ends = F.array_sort(F.array(F.struct("n", "m"), F.struct("s.n", "s.m"))).alias("ends")
-    tied = tied.select(F.least("doc_id", "s.doc_id").alias("a"), F.greatest("doc_id", "s.doc_id").alias("b"), "token", ends)
-    tied = tied.groupBy("a", "b").agg(F.count_distinct("token").alias("c"), F.first("ends").alias("ends"))
-    pairs = materialize(tied.filter((F.col("ends")[1]["n"] < PARITY_TELLS) | (F.col("c") >= F.least(F.col("ends")[0]["m"], F.col("ends")[1]["m"]))).select("a", "b"))
+    def of(side: str, alias: str) -> DataFrame:
+        return info.select(F.col("doc_id").alias(side), F.struct("n", "m", "parity", "most").alias(alias))
+
+    stars = [F.min(F.struct(F.hash("token", "doc_id", F.lit(k)).alias("h"), "doc_id")).alias(f"s{k}") for k in range(3)]
+    anchors = postings.groupBy("token").agg(*stars).select("token", F.explode(F.array_distinct(F.array("s0.doc_id", "s1.doc_id", "s2.doc_id"))).alias("anchor"))
+    tied = postings.join(anchors, "token").filter("doc_id <> anchor").groupBy(F.least("doc_id", "anchor").alias("a"), F.greatest("doc_id", "anchor").alias("b")).agg(F.count_distinct("token").alias("c"))
+    tied = tied.join(of("b", "y"), "b").join(of("a", "x"), "a").filter(linkable("x.", "y."))
+    told = F.greatest("x.n", "y.n") < PARITY_TELLS
+    pairs = materialize(tied.filter(told | (F.col("c") >= F.least("x.m", "y.m"))).select("a", "b"))
     edges = materialize(_verified(docs, pairs, width, percent))
     known = connected_components(edges)
 
-    placed = postings.join(known, postings.doc_id == known.id, "left").select("token", "doc_id", "n", "m", "most", "parity", F.coalesce("component", "doc_id").alias("c"))
+    placed = postings.join(known, postings.doc_id == known.id, "left").select("token", "doc_id", F.coalesce("component", "doc_id").alias("c"))
     mixed = placed.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("token")
-    open_ = materialize(placed.join(mixed, "token", "left_semi"))
+    open_ = materialize(placed.join(mixed, "token", "left_semi").join(info, "doc_id"))
     x, y = open_.alias("x"), open_.alias("y")
     across = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.c") != F.col("y.c")) & linkable("x.", "y."))
     rest = across.groupBy(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).agg(F.count(F.lit(1)).alias("c"), *[F.first(F.col(f"{t}.{v}")).alias(f"{t}_{v}") for t in "xy" for v in "nm"])
