@@ -1,12 +1,122 @@
-"""Queries of the SQL engine for the driver, with their DuckDB twins."""
+"""Queries of the SQL engine for the driver: one for each family of operators, each with its DuckDB twin."""
 
 from __future__ import annotations
 
+import os
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
+from brindle.session import Database, Session
+
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def connect(spark: SparkSession, sf_dir: str) -> Session:
+    db = Database(spark)
+    db.attach_parquet(sf_dir, *TABLES)
+    return db.connect()
+
+
+def _add(name: str, sql: str, oracle: str | None = None, params: tuple = (), before: tuple = ()) -> None:
+    """A query in the engine's SQL after the statements ``before``, and the SQL that DuckDB runs instead (None: the same)."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        s = connect(spark, sf_dir)
+        for one in before:
+            s.query(one) if one.lower().startswith(("select", "execute")) else s.execute(one)
+        return s.query(sql, params)
+
+    run.__name__ = name
+    QUERIES[name] = run
+    ORACLES[name] = oracle or sql
+
+
+_L = "CAST({} AS BIGINT)".format
+
+_add("scan_project", "SELECT l_orderkey, l_partkey, l_extendedprice * (1.0 - l_discount) AS net FROM lineitem")
+_add("table_statement", "SELECT r_name, r_regionkey FROM region", "SELECT r_name, CAST(r_regionkey AS BIGINT) AS r_regionkey FROM region")
+_add("filter_cmp", "SELECT l_orderkey, l_quantity FROM lineitem WHERE l_quantity >= 10.0 AND l_quantity < 25.0 AND l_returnflag = 'R'")
+_add("index_range", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey > 100 AND o_orderkey <= 900")
+_add("filter_3vl", "SELECT p_partkey FROM part WHERE NOT (CASE WHEN p_size > 25 THEN NULL ELSE p_size = 10 END) OR p_size = 50")
+_add("arith_int_div", "SELECT o_orderkey, (o_orderkey - 500) / 7 AS q, (o_orderkey - 500) % 7 AS r, -o_orderkey * 3 + 2 AS m FROM orders", "SELECT o_orderkey, (o_orderkey - 500) // 7 AS q, (o_orderkey - 500) % 7 AS r, -o_orderkey * 3 + 2 AS m FROM orders")
+_add("arith_real", "SELECT l_orderkey, l_linenumber, l_extendedprice / l_quantity AS unit, l_extendedprice % 100.0 AS rest, (l_tax + 1.0) * 2.0 - 0.5 AS k FROM lineitem", "SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_extendedprice / l_quantity AS unit, l_extendedprice % 100.0::DOUBLE AS rest, (l_tax + 1.0::DOUBLE) * 2.0::DOUBLE - 0.5::DOUBLE AS k FROM lineitem")
+_add("case_simple", "SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN 1 WHEN 'F' THEN 2 END AS s FROM orders", "SELECT o_orderkey, CAST(CASE o_orderstatus WHEN 'O' THEN 1 WHEN 'F' THEN 2 END AS BIGINT) AS s FROM orders")
+_add("case_searched", "SELECT p_partkey, CASE WHEN p_size < 10 THEN 'small' WHEN p_size < 30 THEN 'medium' ELSE 'large' END AS kind FROM part")
+_add("like", "SELECT p_partkey, p_name FROM part WHERE p_name LIKE '%a%e%' AND p_type NOT LIKE '_x%'")
+_add("ilike", "SELECT p_partkey FROM part WHERE p_name ILIKE '%AR%' AND p_brand NOT ILIKE 'brand#1_'")
+_add("is_null", "SELECT c_custkey FROM customer WHERE CASE WHEN c_acctbal > 0.0 THEN c_acctbal END IS NULL AND c_name IS NOT NULL")
+_add("is_true", "SELECT c_custkey, (CASE WHEN c_acctbal > 0.0 THEN true END) IS TRUE AS a, (CASE WHEN c_acctbal > 0.0 THEN NULL ELSE false END) IS FALSE AS b, (c_acctbal > 5000.0) IS NOT TRUE AS c FROM customer", "SELECT c_custkey, coalesce(c_acctbal > 0, false) AS a, NOT (c_acctbal > 0) AS b, NOT (c_acctbal > 5000) AS c FROM customer")
+_add("cast_matrix", "SELECT o_orderkey, CAST(o_totalprice AS INTEGER) AS i, CAST(CAST(o_orderkey AS TEXT) AS INTEGER) AS t, CAST(o_orderkey % 2 AS BOOLEAN) AS b, CAST(o_orderkey AS REAL) AS r, CAST(o_orderkey % 2 = 0 AS TEXT) AS bt, CAST(CAST(o_totalprice AS TEXT) AS REAL) AS rt, CAST('on' AS BOOLEAN) AS word FROM orders", "SELECT o_orderkey, CAST(round(o_totalprice) AS BIGINT) AS i, o_orderkey AS t, o_orderkey % 2 <> 0 AS b, CAST(o_orderkey AS DOUBLE) AS r, CASE WHEN o_orderkey % 2 = 0 THEN 'true' ELSE 'false' END AS bt, o_totalprice AS rt, true AS word FROM orders")
+_add("concat", "SELECT c_custkey, c_name || ':' || c_mktsegment || NULL AS n, c_mktsegment || '/' || CAST(c_custkey AS TEXT) AS k FROM customer", "SELECT c_custkey, CAST(NULL AS VARCHAR) AS n, c_mktsegment || '/' || CAST(c_custkey AS VARCHAR) AS k FROM customer")
+_add("math_fns", "SELECT c_custkey, abs(c_acctbal) AS a, ceil(c_acctbal) AS c, floor(c_acctbal) AS f, round(c_acctbal) AS r, trunc(c_acctbal) AS t, sign(c_acctbal) AS s, sqrt(abs(c_acctbal)) AS q, power(c_acctbal, 2.0) AS p, mod(c_custkey, 7) AS m, exp(c_acctbal / 10000.0) AS e FROM customer", "SELECT c_custkey, abs(c_acctbal) AS a, ceil(c_acctbal) AS c, floor(c_acctbal) AS f, round(c_acctbal) AS r, trunc(c_acctbal) AS t, CAST(sign(c_acctbal) AS DOUBLE) AS s, sqrt(abs(c_acctbal)) AS q, pow(c_acctbal, 2) AS p, c_custkey % 7 AS m, exp(c_acctbal / 10000) AS e FROM customer")
+_add("log_fns", "SELECT o_orderkey, ln(o_totalprice) AS a, log(o_totalprice) AS b, log10(o_totalprice) AS c, log(2.0, o_totalprice) AS d FROM orders", "SELECT o_orderkey, ln(o_totalprice) AS a, log10(o_totalprice) AS b, log10(o_totalprice) AS c, ln(o_totalprice) / ln(2) AS d FROM orders")
+_trig = "sin({0}) AS a, cos({0}) AS b, tan({0}) AS c, atan({0}) AS d, asin({0} / 100.0) AS e, acos({0} / 100.0) AS f, atan2({0}, 3.0) AS g, sinh({0} / 10.0) AS h, cosh({0} / 10.0) AS i, tanh({0} / 10.0) AS j, asinh({0}) AS k, acosh({0} + 1.0) AS l, atanh({0} / 100.0) AS m, degrees({0}) AS n, radians({0}) AS o, pi() AS p"
+_add("trig_fns", "SELECT p_partkey, " + _trig.format("CAST(p_size AS REAL)") + " FROM part", "SELECT p_partkey, " + _trig.format("CAST(p_size AS DOUBLE)") + " FROM part")
+_add("string_fns", "SELECT p_partkey, length(p_name) AS n, lower(p_brand) AS l, upper(p_name) AS u, octet_length(p_name) AS o, repeat(p_brand, 2) AS r, replace(p_name, 'a', '<a>') AS x FROM part", "SELECT p_partkey, length(p_name) AS n, lower(p_brand) AS l, upper(p_name) AS u, CAST(strlen(p_name) AS BIGINT) AS o, repeat(p_brand, 2) AS r, replace(p_name, 'a', '<a>') AS x FROM part")
+_add("join_inner", "SELECT o_orderkey, c_name, o_totalprice FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING'")
+_add("join_using", "SELECT a.o_orderkey AS k, b.n FROM orders a JOIN (SELECT l_orderkey AS o_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey) b USING (o_orderkey)")
+_add("join_cross", "SELECT r_name, n_name FROM region CROSS JOIN nation")
+_add("join_comma", "SELECT n_name, r_name FROM nation, region WHERE n_regionkey = r_regionkey")
+_add("join_theta", "SELECT a.r_name AS x, b.r_name AS y FROM region a JOIN region b ON a.r_regionkey < b.r_regionkey")
+_add("join_mixed", "SELECT s_name, c_name FROM supplier JOIN customer ON s_nationkey = c_nationkey AND s_acctbal > c_acctbal")
+_add("join_nway", "SELECT r_name, count(*) AS n, sum(o_orderkey) AS total FROM region JOIN nation ON r_regionkey = n_regionkey JOIN customer ON n_nationkey = c_nationkey JOIN orders ON c_custkey = o_custkey GROUP BY r_name", "SELECT r_name, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS total FROM region JOIN nation ON r_regionkey = n_regionkey JOIN customer ON n_nationkey = c_nationkey JOIN orders ON c_custkey = o_custkey GROUP BY r_name")
+_add("join_expr_key", "SELECT a.n_nationkey AS x, b.n_nationkey AS y FROM nation a JOIN nation b ON a.n_nationkey + 5 = b.n_nationkey * 2", "SELECT CAST(a.n_nationkey AS BIGINT) AS x, CAST(b.n_nationkey AS BIGINT) AS y FROM nation a JOIN nation b ON a.n_nationkey + 5 = b.n_nationkey * 2")
+_add("self_join", "SELECT a.c_custkey AS x, b.c_custkey AS y FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_custkey < b.c_custkey WHERE a.c_mktsegment = b.c_mktsegment")
+_add("agg_ungrouped", "SELECT count(*) AS n, sum(l_linenumber) AS s, avg(l_quantity) AS a, min(l_shipmode_) AS lo, max(l_discount) AS hi FROM (SELECT l_linenumber, l_quantity, l_returnflag AS l_shipmode_, l_discount FROM lineitem) t", "SELECT count(*) AS n, CAST(sum(l_linenumber) AS BIGINT) AS s, avg(l_quantity) AS a, min(l_returnflag) AS lo, max(l_discount) AS hi FROM lineitem")
+_add("agg_empty", "SELECT count(*) AS n, sum(o_orderkey) AS s, avg(o_totalprice) AS a FROM orders WHERE o_orderkey < 0 AND false", "SELECT count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS s, avg(o_totalprice) AS a FROM orders WHERE false")
+_add("agg_group", "SELECT l_returnflag, l_linestatus, count(*) AS n, sum(l_quantity) AS q, round(avg(l_extendedprice)) AS p FROM lineitem GROUP BY l_returnflag, l_linestatus")
+_add("agg_expr_over", "SELECT o_orderstatus, round(sum(o_totalprice) / CAST(count(*) AS REAL) + 1.0) AS k, CASE WHEN count(*) > 100 THEN 'many' ELSE 'few' END AS size, abs(min(o_orderkey) - max(o_orderkey)) AS span FROM orders GROUP BY o_orderstatus", "SELECT o_orderstatus, round(sum(o_totalprice) / count(*) + 1) AS k, CASE WHEN count(*) > 100 THEN 'many' ELSE 'few' END AS size, abs(min(o_orderkey) - max(o_orderkey)) AS span FROM orders GROUP BY o_orderstatus")
+_add("agg_distinct", "SELECT l_returnflag, count(DISTINCT l_suppkey) AS s, sum(DISTINCT l_linenumber) AS d, avg(DISTINCT l_linenumber) AS a, count(*) AS n FROM lineitem GROUP BY l_returnflag", "SELECT l_returnflag, count(DISTINCT l_suppkey) AS s, CAST(sum(DISTINCT l_linenumber) AS BIGINT) AS d, avg(DISTINCT l_linenumber) AS a, count(*) AS n FROM lineitem GROUP BY l_returnflag")
+_add("having", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING n > 3 AND sum(o_totalprice) > 1000.0", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 3 AND sum(o_totalprice) > 1000")
+_add("group_by_alias", "SELECT o_orderkey % 10 AS bucket, count(*) AS n FROM orders GROUP BY bucket")
+_add("distinct", "SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem")
+_add("distinct_on", "SELECT DISTINCT ON (k) k, v FROM (SELECT DISTINCT o_custkey AS k, o_custkey * 2 AS v FROM orders) t", "SELECT DISTINCT o_custkey AS k, o_custkey * 2 AS v FROM orders")
+_add("sort_nulls", "SELECT c_custkey, CASE WHEN c_acctbal > 0.0 THEN c_acctbal END AS b FROM customer ORDER BY b DESC NULLS LAST, c_custkey LIMIT 100", "SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN c_acctbal END AS b FROM customer ORDER BY b DESC NULLS LAST, c_custkey LIMIT 100")
+_add("sort_default_nulls", "SELECT c_custkey FROM customer ORDER BY CASE WHEN c_acctbal > 0.0 THEN c_acctbal END DESC, c_custkey LIMIT 20", "SELECT c_custkey FROM customer ORDER BY CASE WHEN c_acctbal > 0 THEN c_acctbal END DESC NULLS FIRST, c_custkey LIMIT 20")
+_add("topn", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")
+_add("limit_offset", "SELECT o_orderkey FROM orders ORDER BY o_orderkey OFFSET 5 + 5 LIMIT 20")
+_add("union_all", "SELECT n_name AS name FROM nation UNION ALL SELECT r_name FROM region")
+_add("union_distinct", "(SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier) ORDER BY k LIMIT 30", "SELECT CAST(k AS BIGINT) AS k FROM (SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier) ORDER BY k LIMIT 30")
+_add("scalar_subquery", "SELECT c_custkey, round(c_acctbal - (SELECT avg(c_acctbal) FROM customer)) AS d FROM customer WHERE c_acctbal > (SELECT avg(s_acctbal) FROM supplier)")
+_add("exists", "SELECT r_name, EXISTS (SELECT 1 FROM nation WHERE n_name LIKE 'A%') AS e, EXISTS (SELECT 1 FROM nation WHERE n_nationkey < 0) AS f FROM region")
+_add("derived_table", "SELECT big.k, round(big.t) AS t FROM (SELECT o_custkey, sum(o_totalprice) FROM orders GROUP BY o_custkey) AS big(k, t) WHERE big.t > 100000.0")
+_add("values", "SELECT column1 AS a, column2 AS b FROM (VALUES (1, 'x'), (2, NULL), (NULL, 'z')) v", "SELECT CAST(a AS BIGINT) AS a, b FROM (VALUES (1, 'x'), (2, NULL), (NULL, 'z')) v(a, b)")
+_add("select_no_from", "SELECT 1 + 2 AS a, 'it''s' AS b, NULL IS NULL AS c", "SELECT CAST(3 AS BIGINT) AS a, 'it''s' AS b, true AS c")
+_add("generate_series", "SELECT x, x * x AS y FROM generate_series(-5, 1000) g(x)", "SELECT x, x * x AS y FROM generate_series(-5, 1000) g(x)")
+_add("view", "SELECT seg, n FROM per_segment WHERE n > 0", "SELECT c_mktsegment AS seg, count(*) AS n FROM customer GROUP BY c_mktsegment", before=("CREATE VIEW per_segment (seg, n) AS SELECT c_mktsegment, count(*) FROM customer GROUP BY c_mktsegment",))
+_add("params", "SELECT o_orderkey FROM orders WHERE o_orderkey < $1 AND o_orderstatus = $2", "SELECT o_orderkey FROM orders WHERE o_orderkey < 200 AND o_orderstatus = 'O'", params=(200, "O"))
+_add("prepare_execute", "EXECUTE p(5, 'BUILDING')", "SELECT c_custkey FROM customer WHERE c_nationkey = 5 AND c_mktsegment = 'BUILDING'", before=("PREPARE p AS SELECT c_custkey FROM customer WHERE c_nationkey = $1 AND c_mktsegment = $2",))
+_TMP = "CREATE TABLE t (k INTEGER PRIMARY KEY, price REAL, status TEXT DEFAULT 'new')"
+_add("insert_select", "SELECT k, price, status FROM t", "SELECT o_orderkey AS k, o_totalprice AS price, 'new' AS status FROM orders WHERE o_orderstatus = 'F'", before=(_TMP, "INSERT INTO t (k, price) SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F'"))
+_FILL = (_TMP, "INSERT INTO t SELECT o_orderkey, o_totalprice, o_orderstatus FROM orders")
+_add("update", "SELECT k, price, status FROM t", "SELECT o_orderkey AS k, CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice * 2 ELSE o_totalprice END AS price, CASE WHEN o_orderkey % 3 = 0 THEN o_orderstatus || '!' ELSE o_orderstatus END AS status FROM orders", before=(*_FILL, "UPDATE t SET price = price * 2.0, status = status || '!' WHERE k % 3 = 0"))
+_add("delete", "SELECT k, price FROM t", "SELECT o_orderkey AS k, o_totalprice AS price FROM orders WHERE NOT o_totalprice > 100000", before=(*_FILL, "DELETE FROM t WHERE price > 100000.0"))
+_add("truncate", "SELECT count(*) AS n FROM t", "SELECT CAST(0 AS BIGINT) AS n", before=(*_FILL, "TRUNCATE t"))
+_add("sequence", "SELECT id, name FROM s ORDER BY id", "SELECT 10 + 5 * (row_number() OVER (ORDER BY r_name) - 1) AS id, r_name AS name FROM region", before=("CREATE SEQUENCE ids START 10 INCREMENT 5", "CREATE TABLE s (id INTEGER DEFAULT nextval('ids'), name TEXT)", "INSERT INTO s (name) SELECT r_name FROM region ORDER BY r_name"))
+_add("txn_rollback", "SELECT count(*) AS n FROM t", "SELECT count(*) AS n FROM orders", before=(*_FILL, "BEGIN", "DELETE FROM t", "ROLLBACK"))
+_add("show_tables", "SHOW TABLES", "SELECT 't' AS name", before=(_TMP,))
+_add("describe", "DESCRIBE t", "SELECT * FROM (VALUES ('k', 'INTEGER', false, true, NULL), ('price', 'REAL', true, false, NULL), ('status', 'TEXT', true, false, '''new''')) v(column_name, type, is_nullable, is_primary_key, default_value)", before=(_TMP,))
+_add("leaderboard_q1", "SELECT x, y FROM (SELECT g % 100 AS x, g / 100 AS y FROM generate_series(0, 999999) s(g)) t WHERE x >= 90 AND y = 10", "SELECT g % 100 AS x, g // 100 AS y FROM generate_series(0, 999999) s(g) WHERE g % 100 >= 90 AND g // 100 = 10")
+_add("leaderboard_q4", "SELECT a.x AS x FROM (SELECT g AS x FROM generate_series(1, 10000) s(g)) a JOIN (SELECT -g AS x FROM generate_series(1, 1000000) s(g)) b ON a.x = b.x", "SELECT CAST(0 AS BIGINT) AS x WHERE false")
+
+
+def csv_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes a small table as delimited text and imports it."""
+    s = connect(spark, sf_dir)
+    s.execute("CREATE TABLE r (k INTEGER, name TEXT)")
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    path = f"{shared or 'file://' + tempfile.mkdtemp()}/brindle-csv-{os.urandom(6).hex()}"
+    spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_name").write.csv(path, header=True)
+    s.load_file("r", path, "csv", skip_header=True)
+    return s.query("SELECT k, name FROM r")
+
+
+QUERIES["csv_import"] = csv_import
+ORACLES["csv_import"] = "SELECT CAST(n_nationkey AS BIGINT) AS k, n_name AS name FROM nation"
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_returnflag").count()
+    return connect(spark, sf_dir).query("SELECT l_returnflag, count(*) AS n, sum(l_quantity) AS q FROM lineitem WHERE l_quantity > 10.0 GROUP BY l_returnflag ORDER BY l_returnflag")
