@@ -204,7 +204,11 @@ def predict(texts: list, model) -> list[tuple[str, float]]:
 def fit(labelled: DataFrame):
     """A model from rows (doc_id, text, lang). doc_id only picks the sample."""
     part = labelled.filter("lang IS NOT NULL AND text IS NOT NULL").select(F.xxhash64("doc_id").alias("h"), F.substring("text", 1, MAX_TRAIN_CHARS).alias("text"), "lang")
-    rows = part.orderBy("h", "text", "lang").limit(MAX_TRAIN_DOCS).collect()  # MAX_TRAIN_DOCS * MAX_TRAIN_CHARS bounds it
+    # Only hashes under a cut that leaves about twice the sample are sorted, so partitions send few texts each.
+    n = max(1, part.select(F.lit(1)).count())
+    cut = int(-(1 << 63) + (1 << 64) * min(1.0, 2 * MAX_TRAIN_DOCS / n))
+    low = part if 2 * MAX_TRAIN_DOCS >= n else part.filter(F.col("h") < cut)
+    rows = low.orderBy("h", "text", "lang").limit(MAX_TRAIN_DOCS).collect()  # MAX_TRAIN_DOCS * MAX_TRAIN_CHARS bounds it
     return train([r["text"] for r in rows], [r["lang"] for r in rows])
 
 
