@@ -44,6 +44,16 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: So many ids (8 bytes each) at most are broadcast.
+BROADCAST_IDS = 1_000_000
+
+
+def sized(ids: DataFrame) -> DataFrame:
+    """``ids``, written, with a broadcast hint if they are few enough; beyond that a join with them is shuffled."""
+    ids = materialize(ids)
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def text_slices(texts, limit: int = SLICE_CHARS):
     """(start, end) ranges over ``texts`` that hold at most ``limit`` characters each, or a single text."""
     start = size = 0

@@ -16,8 +16,8 @@ Steps, all distributed:
    to share l of them. A pair is a candidate when it shares at least the smaller l of both. Prefix shingles that nobody else
    has in a prefix bound what a document can share at all, and so do 512 parity bits of the whole set; pairs that these bounds
    rule out are never formed.
-3. *Stars first.* Each document is paired with up to three pseudo-random members of each of its shingles' buckets; these few
-   pairs, once verified, join the bulk of large groups of near copies in linear work.
+3. *Stars first.* Each document is paired with up to three pseudo-random members of each of its shingles' buckets that aren't in
+   its component yet; these pairs, once verified, join the bulk of large groups of near copies in linear work. A few rounds.
 4. *The rest.* Then every pair that shares enough prefix shingles and isn't in one component yet becomes a candidate and is
    verified. A pair that is left out is thus either known to be in one component or proven dissimilar: no link between
    components is lost, and no bucket is expanded into all its pairs once its members are joined.
@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm.common import WordHashes, connected_components, materialize, mix64, text_slices
+from brindle.llm.common import sized as sized_ids
 
 HOT_LIMIT = 1 << 18
 MAX_MATCH = 4
@@ -42,8 +43,8 @@ MAX_MATCH = 4
 VERIFY_COST = 20
 #: Below this size the parities alone tell unrelated sets apart.
 PARITY_TELLS = 1200
-#: So many doc_ids (8 bytes each) at most are broadcast.
-BROADCAST_IDS = 1_000_000
+#: Rounds of star pairs before the rest is looked at.
+STAR_ROUNDS = 3
 FLUSH_TOKENS = 3_000_000
 _MUL = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
@@ -210,9 +211,8 @@ def _verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> Da
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pdf.loc[keep, ["a", "b"]]
 
-    needed = materialize(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct())
-    if needed.count() <= BROADCAST_IDS:  # spares the texts a shuffle; beyond it, the join is shuffled
-        needed = F.broadcast(needed)
+    # A broadcast spares the texts a shuffle.
+    needed = sized_ids(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct())
     found = materialize(docs.select("doc_id", "text").join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInPandas(sets, "doc_id long, tokens binary"))
     a, b = found.select(F.col("doc_id").alias("a"), F.col("tokens").alias("ta")), found.select(F.col("doc_id").alias("b"), F.col("tokens").alias("tb"))
     return pairs.select("a", "b").join(b, "b").join(a, "a").select("a", "b", "ta", "tb").mapInPandas(compare, "a long, b long")
@@ -256,24 +256,37 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     def of(side: str, alias: str) -> DataFrame:
         return info.select(F.col("doc_id").alias(side), F.struct("n", "m", "parity", "most").alias(alias))
 
-    stars = [F.min(F.struct(F.hash("token", "doc_id", F.lit(k)).alias("h"), "doc_id")).alias(f"s{k}") for k in range(3)]
-    anchors = postings.groupBy("token").agg(*stars).select("token", F.explode(F.array_distinct(F.array("s0.doc_id", "s1.doc_id", "s2.doc_id"))).alias("anchor"))
-    tied = postings.join(anchors, "token").filter("doc_id <> anchor").groupBy(F.least("doc_id", "anchor").alias("a"), F.greatest("doc_id", "anchor").alias("b")).agg(F.count_distinct("token").alias("c"))
-    tied = tied.join(of("b", "y"), "b").join(of("a", "x"), "a").filter(linkable("x.", "y."))
-    told = F.greatest("x.n", "y.n") < PARITY_TELLS
-    pairs = materialize(tied.filter(told | (F.col("c") >= F.least("x.m", "y.m"))).select("a", "b"))
-    edges = materialize(_verified(docs, pairs, width, percent))
-    known = connected_components(edges)
-
-    placed = postings.join(known, postings.doc_id == known.id, "left").select("token", "doc_id", F.coalesce("component", "doc_id").alias("c"))
-    mixed = placed.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("token")
-    open_ = materialize(placed.join(mixed, "token", "left_semi").join(info, "doc_id"))
+    pairs = edges = known = None
+    held = postings.withColumn("c", F.col("doc_id"))
+    for turn in range(STAR_ROUNDS):
+        stars = [F.min(F.struct(F.hash("token", "doc_id", F.lit(3 * turn + k)).alias("h"), "doc_id", "c")).alias(f"s{k}") for k in range(3)]
+        anchors = held.groupBy("token").agg(*stars).select("token", F.explode(F.array_distinct(F.transform(F.array("s0", "s1", "s2"), lambda s: F.struct(s.doc_id.alias("doc_id"), s.c.alias("c"))))).alias("s"))
+        tied = held.join(anchors, "token").filter((F.col("doc_id") != F.col("s.doc_id")) & (F.col("c") != F.col("s.c")))
+        tied = tied.groupBy(F.least("doc_id", "s.doc_id").alias("a"), F.greatest("doc_id", "s.doc_id").alias("b")).agg(F.count_distinct("token").alias("c"))
+        tied = tied.join(of("b", "y"), "b").join(of("a", "x"), "a").filter(linkable("x.", "y."))
+        told = F.greatest("x.n", "y.n") < PARITY_TELLS
+        new = tied.filter(told | (F.col("c") >= F.least("x.m", "y.m"))).select("a", "b")
+        new = materialize(new if pairs is None else new.join(pairs, ["a", "b"], "left_anti"))
+        linked = materialize(_verified(docs, new, width, percent))
+        pairs = new if pairs is None else pairs.unionByName(new)
+        if linked.limit(1).count():
+            edges = linked if edges is None else edges.unionByName(linked)
+            known = connected_components(edges)
+        elif turn:
+            break
+        placed = postings if known is None else postings.join(known, postings.doc_id == known.id, "left")
+        placed = placed.select("token", "doc_id", F.coalesce("component", "doc_id").alias("c") if known is not None else F.col("doc_id").alias("c"))
+        mixed = placed.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("token")
+        held = materialize(placed.join(mixed, "token", "left_semi"))
+
+    open_ = materialize(held.join(info, "doc_id"))
     x, y = open_.alias("x"), open_.alias("y")
     across = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.c") != F.col("y.c")) & linkable("x.", "y."))
     rest = across.groupBy(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).agg(F.count(F.lit(1)).alias("c"), *[F.first(F.col(f"{t}.{v}")).alias(f"{t}_{v}") for t in "xy" for v in "nm"])
     rest = rest.filter(enough(F.col("c"), F.col("x_n"), F.col("x_m"), F.col("y_n"), F.col("y_m"))).select("a", "b")
     rest = materialize(rest.join(pairs, ["a", "b"], "left_anti"))
-    edges = edges.unionByName(_verified(docs, rest, width, percent))
+    last = _verified(docs, rest, width, percent)
+    edges = last if edges is None else edges.unionByName(last)
     components = connected_components(edges)
 
     labelled = classes.join(components, classes.class_id == components.id, "left").select("n", "s1", "s2", "class_id", F.coalesce("component", "class_id").alias("component_id"))

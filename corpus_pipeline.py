@@ -5,20 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.common import materialize, table
+from brindle.llm.common import materialize, sized, table
 from brindle.llm.decontaminate import decontaminate
 from brindle.llm.jaccard_join import ngram_jaccard_join
 from brindle.llm.line_dedup import line_dedup
 from brindle.llm.packing import pack
-from brindle.llm.quality import quality_rules
+from brindle.llm.quality import keep_documents
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    kept = materialize(quality_rules(docs).filter("kept").select("doc_id").distinct())
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    return keep_documents(docs.select(*COLUMNS))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,13 +28,13 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (5-word shingles, Jaccard 0.8) the document with the smallest id stays."""
-    first = materialize(ngram_jaccard_join(docs, width=5, percent=80).filter("doc_id = component_id").select("doc_id"))
-    return docs.join(first, "doc_id", "left_semi").select(*COLUMNS)
+    gone = sized(ngram_jaccard_join(docs, width=5, percent=80).filter("doc_id <> component_id").select("doc_id").distinct())
+    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    found = materialize(decontaminate(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct())
+    found = sized(decontaminate(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct())
     return docs.join(found, "doc_id", "left_anti").select(*COLUMNS)
 
 
