@@ -197,25 +197,15 @@ def _verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> Da
         for pdf in batches:
             texts, ids = pdf["text"].tolist(), pdf["doc_id"].tolist()
             for a, b in text_slices(texts):
-                yield pd.DataFrame({"doc_id": ids[a:b], "tokens": [s.tobytes() for s in shingle_sets(texts[a:b], hashes, width)]})
-
-    def compare(batches):
-        for pdf in batches:
-            keep = []
-            for x, y in zip(pdf["ta"], pdf["tb"]):
-                x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                both = int((y[at] == x).sum())
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pdf.loc[keep, ["a", "b"]]
+                yield pd.DataFrame({"doc_id": ids[a:b], "tokens": [s.view(np.int64) for s in shingle_sets(texts[a:b], hashes, width)]})
 
     # A broadcast spares the texts a shuffle.
     needed = sized_ids(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct())
-    found = materialize(docs.select("doc_id", "text").join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInPandas(sets, "doc_id long, tokens binary"))
+    found = materialize(docs.select("doc_id", "text").join(needed, "doc_id", "left_semi").mapInPandas(sets, "doc_id long, tokens array<long>").dropDuplicates(["doc_id"]))
     a, b = found.select(F.col("doc_id").alias("a"), F.col("tokens").alias("ta")), found.select(F.col("doc_id").alias("b"), F.col("tokens").alias("tb"))
-    return pairs.select("a", "b").join(b, "b").join(a, "a").select("a", "b", "ta", "tb").mapInPandas(compare, "a long, b long")
+    # Pair by pair in the JVM: a batch of pairs of long sets would be large.
+    both = F.size(F.array_intersect("ta", "tb")).cast("long")
+    return pairs.select("a", "b").join(b, "b").join(a, "a").filter(100 * both >= percent * (F.size("ta") + F.size("tb") - both)).select("a", "b")
 
 
 def ngram_jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
