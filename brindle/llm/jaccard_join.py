@@ -18,8 +18,8 @@ Steps, all distributed:
    rule out are never formed.
 3. *Stars first.* Each document is paired with up to three pseudo-random members of each of its shingles' buckets that aren't in
    its component yet; these pairs, once verified, join the bulk of large groups of near copies in linear work. A few rounds.
-4. *The rest.* Then every pair that shares enough prefix shingles and isn't in one component yet becomes a candidate and is
-   verified. A pair that is left out is thus either known to be in one component or proven dissimilar: no link between
+4. *The rest.* Then every pair that shares enough prefix shingles (of short sets: any, as the parities tell them apart) and
+   isn't in one component yet becomes a candidate and is verified. A pair meets once for each run of shared shingles. A pair that is left out is thus either known to be in one component or proven dissimilar: no link between
    components is lost, and no bucket is expanded into all its pairs once its members are joined.
 5. Verification intersects the whole hashed sets. Components come from distributed label propagation.
 
@@ -31,7 +31,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.llm.common import WordHashes, connected_components, materialize, mix64, text_slices
@@ -41,10 +41,11 @@ HOT_LIMIT = 1 << 18
 MAX_MATCH = 4
 #: Verifying a candidate costs as much as reading so many postings.
 VERIFY_COST = 20
+PARITY_BITS = 1024
 #: Below this size the parities alone tell unrelated sets apart.
 PARITY_TELLS = 1200
 #: Rounds of star pairs before the rest is looked at.
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
 FLUSH_TOKENS = 3_000_000
 _MUL = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
@@ -181,7 +182,7 @@ def _prefixes(docs: DataFrame, width: int, percent: int, hot: tuple[np.ndarray,
                         s, df = s[order], df[order]
                     cost = np.cumsum(df - 1)
                     best = min(range(1, min(MAX_MATCH, least) + 1), key=lambda m: (cost[n - least + m - 1] * (1 + VERIFY_COST / m), m))
-                    parity = np.packbits((np.bincount((s & np.uint64(511)).astype(np.int64), minlength=512) & 1).astype(np.uint8)).view(np.int64)
+                    parity = np.packbits((np.bincount((s & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS) & 1).astype(np.uint8)).view(np.int64)
                     rows.append((doc_id, n, best, s[: n - least + best].view(np.int64), parity))
                 if rows:
                     yield pd.DataFrame(rows, columns=["doc_id", "n", "m", "prefix", "parity"])
@@ -233,7 +234,7 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
         """Whether the pair can still reach the similarity, from both sizes, what each can share at most, and the bits in
         which the parities differ (no more than the shingles that only one of both has)."""
         size = F.col(f"{x}n") + F.col(f"{y}n")
-        differ = sum(F.bit_count(F.col(f"{x}parity")[k].bitwiseXOR(F.col(f"{y}parity")[k])) for k in range(8))
+        differ = sum(F.bit_count(F.col(f"{x}parity")[k].bitwiseXOR(F.col(f"{y}parity")[k])) for k in range(PARITY_BITS // 64))
         both = F.least(F.col(f"{x}most"), F.col(f"{y}most"))
         return (100 * both >= percent * (size - both)) & ((100 + percent) * (size - differ) >= 2 * percent * size)
 
@@ -269,11 +270,16 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
         mixed = placed.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("token")
         held = materialize(placed.join(mixed, "token", "left_semi"))
 
-    open_ = materialize(held.join(info, "doc_id"))
+    # Two documents that share a run of prefix shingles, each following the other in both, need to meet at its first one only:
+    # where the shingles before are equal, they have met already. Only for long sets are the shared shingles counted.
+    before = Window.partitionBy("doc_id").orderBy("token")
+    open_ = materialize(held.withColumn("before", F.lag("token").over(before)).join(info, "doc_id"))
     x, y = open_.alias("x"), open_.alias("y")
-    across = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.c") != F.col("y.c")) & linkable("x.", "y."))
-    rest = across.groupBy(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).agg(F.count(F.lit(1)).alias("c"), *[F.first(F.col(f"{t}.{v}")).alias(f"{t}_{v}") for t in "xy" for v in "nm"])
-    rest = rest.filter(enough(F.col("c"), F.col("x_n"), F.col("x_m"), F.col("y_n"), F.col("y_m"))).select("a", "b")
+    told = F.greatest("x.n", "y.n") < PARITY_TELLS
+    fresh = ~told | F.coalesce(F.col("x.before") != F.col("y.before"), F.lit(True))
+    across = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.c") != F.col("y.c")) & fresh & linkable("x.", "y."))
+    rest = across.groupBy(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.first(told).alias("told"), *[F.first(F.col(f"{t}.{v}")).alias(f"{t}_{v}") for t in "xy" for v in "nm"])
+    rest = rest.filter(F.col("told") | enough(F.col("c"), F.col("x_n"), F.col("x_m"), F.col("y_n"), F.col("y_m"))).select("a", "b")
     rest = materialize(rest.join(pairs, ["a", "b"], "left_anti"))
     last = _verified(docs, rest, width, percent)
     edges = last if edges is None else edges.unionByName(last)
