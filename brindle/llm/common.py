@@ -70,7 +70,7 @@ def text_slices(texts, limit: int = SLICE_CHARS):
 class WordHashes(dict):
     """word bytes -> stable 64-bit hash, remembering a bounded number of words."""
 
-    LIMIT = 300_000
+    LIMIT = 100_000
 
     def __missing__(self, word: bytes) -> int:
         import xxhash

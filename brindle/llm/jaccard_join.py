@@ -46,7 +46,7 @@ PARITY_BITS = 1024
 PARITY_TELLS = 1200
 #: Rounds of star pairs before the rest is looked at.
 STAR_ROUNDS = 2
-FLUSH_TOKENS = 3_000_000
+FLUSH_TOKENS = 1_000_000
 _MUL = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 
