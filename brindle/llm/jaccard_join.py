@@ -45,7 +45,7 @@ PARITY_BITS = 1024
 #: Below this size the parities alone tell unrelated sets apart.
 PARITY_TELLS = 1200
 #: Rounds of star pairs before the rest is looked at.
-STAR_ROUNDS = 2
+STAR_ROUNDS = 3
 FLUSH_TOKENS = 1_000_000
 _MUL = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
@@ -250,7 +250,9 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     pairs = edges = known = None
     held = postings.withColumn("c", F.col("doc_id"))
     for turn in range(STAR_ROUNDS):
-        stars = [F.min(F.struct(F.hash("token", "doc_id", F.lit(3 * turn + k)).alias("h"), "doc_id", "c")).alias(f"s{k}") for k in range(3)]
+        # At first the same few documents stand for most buckets of a group, so that its pairs are few; then others do.
+        by = ["token", "doc_id"] if turn else ["doc_id"]
+        stars = [F.min(F.struct(F.hash(*by, F.lit(3 * turn + k)).alias("h"), "doc_id", "c")).alias(f"s{k}") for k in range(3)]
         anchors = held.groupBy("token").agg(*stars).select("token", F.explode(F.array_distinct(F.transform(F.array("s0", "s1", "s2"), lambda s: F.struct(s.doc_id.alias("doc_id"), s.c.alias("c"))))).alias("s"))
         tied = held.join(anchors, "token").filter((F.col("doc_id") != F.col("s.doc_id")) & (F.col("c") != F.col("s.c")))
         tied = tied.groupBy(F.least("doc_id", "s.doc_id").alias("a"), F.greatest("doc_id", "s.doc_id").alias("b")).agg(F.count_distinct("token").alias("c"))
