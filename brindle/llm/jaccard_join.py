@@ -14,7 +14,7 @@ Steps, all distributed:
    sets x and y link, they share at least l of the first |x| - ceil(t|x|) + l and |y| - ceil(t|y|) + l shingles, for any l.
    Each document takes the l (up to ``MAX_MATCH``) whose estimated cost is least: postings read, plus the candidates expected
    to share l of them. A pair is a candidate when it shares at least the smaller l of both. Prefix shingles that nobody else
-   has in a prefix bound what a document can share at all, and so do 512 parity bits of the whole set; pairs that these bounds
+   has in a prefix bound what a document can share at all, and so do 1024 parity bits of the whole set; pairs that these bounds
    rule out are never formed.
 3. *Stars first.* Each document is paired with up to three pseudo-random members of each of its shingles' buckets that aren't in
    its component yet; these pairs, once verified, join the bulk of large groups of near copies in linear work. A few rounds.
@@ -175,6 +175,8 @@ def _prefixes(docs: DataFrame, width: int, percent: int, hot: tuple[np.ndarray,
                         df = np.where(token[at] == top, counts[at], 1)
                     else:
                         df = np.ones(n, dtype=np.int64)
+                    # before the set is cut to its prefix: the bits are of the whole set
+                    parity = np.packbits((np.bincount((s & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS) & 1).astype(np.uint8)).view(np.int64)
                     # a stable sort keeps the order by hash within a frequency
                     longest = min(n, n - least + MAX_MATCH)
                     if df.max() > 1:
@@ -182,7 +184,6 @@ def _prefixes(docs: DataFrame, width: int, percent: int, hot: tuple[np.ndarray,
                         s, df = s[order], df[order]
                     cost = np.cumsum(df - 1)
                     best = min(range(1, min(MAX_MATCH, least) + 1), key=lambda m: (cost[n - least + m - 1] * (1 + VERIFY_COST / m), m))
-                    parity = np.packbits((np.bincount((s & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS) & 1).astype(np.uint8)).view(np.int64)
                     rows.append((doc_id, n, best, s[: n - least + best].view(np.int64), parity))
                 if rows:
                     yield pd.DataFrame(rows, columns=["doc_id", "n", "m", "prefix", "parity"])

@@ -114,6 +114,16 @@ def test_jaccard_join_matches_brute_force(spark, width, percent):
     assert got == brute_components(rows, width, percent)
 
 
+def test_jaccard_join_links_across_a_frequent_line(spark):
+    rng, line = random.Random(8), " ".join(f"b{k}" for k in range(12))
+    rows = [(k, f"{line} " + " ".join(f"f{k}w{j}" for j in range(20))) for k in range(20)]  # makes the line frequent
+    for g in range(8):
+        text = " ".join(f"g{g}w{rng.randrange(10**6)}" for _ in range(300))
+        rows += [(100 + 2 * g, text), (101 + 2 * g, f"{text} {line}")]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_jaccard_join(docs(spark, rows), 5, 80).collect()}
+    assert got == brute_components(rows, 5, 80)
+
+
 def test_jaccard_join_on_tables(spark):
     rows = [tuple(r) for r in real(spark).collect()]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_jaccard_join(real(spark), 4, 85).collect()}
