@@ -13,9 +13,9 @@ Steps, all distributed:
 2. *Prefixes.* Shingles are ordered rare first: those not listed as frequent by hash, then the listed ones by frequency. If
    sets x and y link, they share at least l of the first |x| - ceil(t|x|) + l and |y| - ceil(t|y|) + l shingles, for any l.
    Each document takes the l (up to ``MAX_MATCH``) whose estimated cost is least: postings read, plus the candidates expected
-   to share l of them. A pair is a candidate when it shares at least the smaller l of both. Prefix shingles that nobody else
-   has in a prefix bound what a document can share at all, and so do 1024 parity bits of the whole set; pairs that these bounds
-   rule out are never formed.
+   to share l of them. A pair is a candidate when it shares at least the smaller l of both. The prefix shingles that
+   others have in a prefix, with what follows the prefix, bound what a pair can share, and so do 1024 parity bits of the whole
+   set; pairs that these bounds rule out are never formed.
 3. *Stars first.* Each document is paired with up to three pseudo-random members of each of its shingles' buckets that aren't in
    its component yet; these pairs, once verified, join the bulk of large groups of near copies in linear work. A few rounds.
 4. *The rest.* Then every pair that shares enough prefix shingles (of short sets: any, as the parities tell them apart) and
@@ -225,18 +225,19 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     postings = prefixes.select("doc_id", F.explode("prefix").alias("token"))
     shared = postings.groupBy("token").count().filter("count > 1").select("token")
     postings = materialize(postings.join(shared, "token", "left_semi"))
-    # A prefix shingle that no other document has in its prefix is no shared one: "most" bounds what x can share with anyone.
-    found = postings.groupBy("doc_id").agg(F.count(F.lit(1)).alias("found"))
-    most = F.expr(f"({percent} * n + 99) div 100") - F.col("m") + F.col("found")
-    info = prefixes.drop("prefix").join(found, "doc_id").select("doc_id", "n", "m", "parity", most.cast("int").alias("most"))
-    info = materialize(info.filter(f"100 * most >= {percent} * n"))
+    # "found" bounds what two prefixes share, "after" counts what follows the prefix. A document without a shared prefix shingle
+    # links with nothing.
+    found = postings.groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("found"))
+    after = F.expr(f"({percent} * n + 99) div 100") - F.col("m")
+    info = materialize(prefixes.drop("prefix").join(found, "doc_id").select("doc_id", "n", "m", "parity", "found", after.cast("int").alias("after")))
 
     def linkable(x: str, y: str):
-        """Whether the pair can still reach the similarity, from both sizes, what each can share at most, and the bits in
-        which the parities differ (no more than the shingles that only one of both has)."""
+        """Whether the pair can still reach the similarity, from both sizes, what they can share at most, and the bits in
+        which the parities differ (no more than the shingles that only one of both has). A prefix shingle of one may follow the
+        prefix of the other: only up to the prefix that ends first are all shared shingles in both prefixes."""
         size = F.col(f"{x}n") + F.col(f"{y}n")
         differ = sum(F.bit_count(F.col(f"{x}parity")[k].bitwiseXOR(F.col(f"{y}parity")[k])) for k in range(PARITY_BITS // 64))
-        both = F.least(F.col(f"{x}most"), F.col(f"{y}most"))
+        both = F.least(F.least(F.col(f"{x}found"), F.col(f"{y}found")) + F.greatest(F.col(f"{x}after"), F.col(f"{y}after")), F.col(f"{x}n"), F.col(f"{y}n"))
         return (100 * both >= percent * (size - both)) & ((100 + percent) * (size - differ) >= 2 * percent * size)
 
     def enough(shared, n1, m1, n2, m2):
@@ -246,7 +247,7 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
         return (shared >= F.least(m1, m2)) & ((shared + after) * (100 + percent) >= percent * (n1 + n2))
 
     def of(side: str, alias: str) -> DataFrame:
-        return info.select(F.col("doc_id").alias(side), F.struct("n", "m", "parity", "most").alias(alias))
+        return info.select(F.col("doc_id").alias(side), F.struct("n", "m", "parity", "found", "after").alias(alias))
 
     pairs = edges = known = None
     held = postings.withColumn("c", F.col("doc_id"))

@@ -124,6 +124,15 @@ def test_jaccard_join_links_across_a_frequent_line(spark):
     assert got == brute_components(rows, 5, 80)
 
 
+def test_jaccard_join_finds_copies_with_appended_text(spark):
+    rows = []
+    for g in range(12):  # copies make a group's shingles frequent, so that the new ones fill the longer text's prefix
+        text = " ".join(f"g{g}w{k}" for k in range(404))
+        rows += [(100 * g + k, text) for k in range(9)] + [(100 * g + 50, text + "".join(f" n{g}x{k}" for k in range(28 + 4 * g)))]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_jaccard_join(docs(spark, rows), 5, 80).collect()}
+    assert got == brute_components(rows, 5, 80)
+
+
 def test_jaccard_join_on_tables(spark):
     rows = [tuple(r) for r in real(spark).collect()]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_jaccard_join(real(spark), 4, 85).collect()}
