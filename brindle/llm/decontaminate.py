@@ -7,7 +7,8 @@ windows of 4, all of which must be found; shorter items aren't looked for. Item
 and aren't used. A document is a candidate for an item when it holds ``min_percent`` percent of the item's distinct windows.
 
 Slots of matched windows are then compared: each value of the item must stand for one value of the document and the other way
-round (7 -> 12 everywhere). A candidate whose slots clash stays only if windows without slots reach the share on their own.
+round (7 -> 12 everywhere). A candidate whose slots clash stays only if windows without slots reach the share on their own, or
+if one occurrence, by the difference of positions in document and item, reaches it without a clash; its slots are then counted.
 Verbatim copies are consistent by nature, re-parameterised questions are so too.
 
 Returns a row for each (doc_id, item_id) found: n_windows (matched, distinct), item_windows, n_slots (distinct pairs of values),
@@ -36,12 +37,16 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(text, _SPACE + "+"), lambda w: w != "")
 
 
+def _bare(text: Column) -> Column:
+    return F.lower(F.regexp_replace(text, rf"(?<!{_WORD}){_MARK}++(?=[\p{{L}}\p{{N}}])|(?<=[\p{{L}}\p{{N}}]){_MARK}++(?!{_WORD})", ""))
+
+
 def template(text: Column) -> Column:
     """The template of a text; it has as many words as the text."""
     text = F.regexp_replace(text, rf"(?<!{_WORD})[+$€-]?\d[\d.,:/]*+%?[.,;:!?]?(?!{_WORD})", "<num>")
     text = F.regexp_replace(text, rf"(?<!{_WORD})<num>({_SPACE}++)(?i:{UNITS})[.,;:!?]?(?!{_WORD})", "<num>$1<unit>")
     text = F.regexp_replace(text, rf"(?<=[^.!?:\x20\x09-\x0D]{_SPACE})\p{{Lu}}\p{{Ll}}{_WORD}*+", "<name>")
-    return F.lower(F.regexp_replace(text, rf"(?<!{_WORD}){_MARK}++(?=[\p{{L}}\p{{N}}])|(?<=[\p{{L}}\p{{N}}]){_MARK}++(?!{_WORD})", ""))
+    return _bare(text)
 
 
 def _rolled(df: DataFrame, col: str, step: int, to: str) -> DataFrame:
@@ -73,7 +78,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, min_percent: int = MIN_
         own = _windows(own, width).join(own.select(F.col("id").alias("i"), "t", "w"), F.col("id") == F.col("i"))
         slot = F.transform(F.slice("t", F.col("pos") + 1, width), lambda w: w.rlike("^<(?:num|unit|name)>$"))
         values = F.transform(F.filter(F.sequence(F.lit(0), F.lit(width - 1)), lambda k: F.get("slot", k)), lambda k: F.struct(k.alias("k"), F.get("w", F.col("pos") + k).alias("v")))
-        own = own.withColumn("slot", slot).withColumn("slots", values).filter(f"size(slots) <= {width // 2}").select(F.col("id").alias("item_id"), "h", "slots").distinct()
+        own = own.withColumn("slot", slot).withColumn("slots", values).filter(f"size(slots) <= {width // 2}").groupBy(F.col("id").alias("item_id"), "h", "slots").agg(F.collect_set("pos").alias("ats"), F.max(F.size("t")).alias("item_words"))
         own = own.join(own.groupBy("item_id").agg(F.count_distinct("h").alias("item_windows")), "item_id")
         share = min_percent if width == 8 else 100
         own = materialize(own)
@@ -82,22 +87,42 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, min_percent: int = MIN_
         if keys.count() <= BROADCAST_KEYS:  # beyond it, a shuffled join on the hash does it all
             hits = hits.join(F.broadcast(keys), "h", "left_semi")
         hits = hits.join(own, "h")
-        hits = hits.select("doc_id", "item_id", "h", "pos", "slots", "item_windows", F.lit(share).alias("share"))
+        hits = hits.select("doc_id", "item_id", "h", "pos", "slots", "ats", "item_words", "item_windows", F.lit(share).alias("share"))
         found = hits if found is None else found.unionByName(hits)
     if found is None:
-        found = docs.limit(0).selectExpr("id AS doc_id", "0L AS item_id", "0L AS h", "0 AS pos", "array(struct(0 AS k, '' AS v)) AS slots", "0L AS item_windows", "0 AS share")
+        found = docs.limit(0).selectExpr("id AS doc_id", "0L AS item_id", "0L AS h", "0 AS pos", "array(struct(0 AS k, '' AS v)) AS slots", "array(0) AS ats", "0 AS item_words", "0L AS item_windows", "0 AS share")
     found = materialize(found)
     pair = ["doc_id", "item_id"]
     plain = F.when(F.size("slots") == 0, F.col("h"))
     sums = found.groupBy(*pair).agg(F.count_distinct("h").alias("n_windows"), F.count_distinct(plain).alias("n_plain"), F.first("item_windows").alias("item_windows"), F.first("share").alias("share"), F.max(F.size("slots")).alias("slotted"))
     sums = materialize(sums.filter("100 * n_windows >= share * item_windows"))
     # Values of slots are looked up only for candidates that have some.
-    open_ = found.filter("size(slots) > 0").join(sums.filter("slotted > 0").select(*pair), pair, "left_semi").select(*pair, "pos", F.explode("slots").alias("s"))
+    open_ = found.filter("size(slots) > 0").join(sums.filter("slotted > 0").select(*pair), pair, "left_semi").select(*pair, "pos", "ats", "item_words", F.explode("slots").alias("s"))
     texts = docs.join(sums.filter("slotted > 0").select(F.col("doc_id").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("d"), _words("text").alias("words"))
     bare = lambda c: F.lower(F.regexp_replace(c, r"^[^\p{L}\p{N}%]+|[^\p{L}\p{N}%]+$", ""))
-    values = open_.join(texts, F.col("doc_id") == F.col("d")).select(*pair, bare(F.col("s.v")).alias("ours"), bare(F.get("words", F.col("pos") + F.col("s.k"))).alias("theirs"))
-    slots = values.groupBy(*pair).agg(F.count_distinct("ours", "theirs").alias("n_slots"), F.count_distinct("ours").alias("n_ours"), F.count_distinct("theirs").alias("n_theirs"), F.count_distinct(F.when(F.col("ours") != F.col("theirs"), F.struct("ours", "theirs"))).alias("n_changed"))
-    out = sums.join(slots, pair, "left")
+    values = open_.join(texts, F.col("doc_id") == F.col("d")).select(*pair, "pos", "ats", "item_words", bare(F.col("s.v")).alias("ours"), bare(F.get("words", F.col("pos") + F.col("s.k"))).alias("theirs"))
+    values = materialize(values)
+
+    def told(rows: DataFrame, by: list[str]) -> DataFrame:
+        return rows.groupBy(*by).agg(F.count_distinct("ours", "theirs").alias("n_slots"), F.count_distinct("ours").alias("n_ours"), F.count_distinct("theirs").alias("n_theirs"), F.count_distinct(F.when(F.col("ours") != F.col("theirs"), F.struct("ours", "theirs"))).alias("n_changed"))
+
+    def placed(rows: DataFrame) -> DataFrame:
+        """Rows by occurrence: k and o are the same for hits that one copy may have made. The position in the document less
+        that in the item is the same throughout a verbatim copy; in halves of the item's length, shifted by a quarter too,
+        a copy with words put in or left out stays together, and two copies never do."""
+        half = F.greatest(F.floor(F.col("item_words") / 2), F.lit(2))
+        rows = rows.join(unclear, pair, "left_semi").withColumn("off", F.explode(F.transform("ats", lambda at: F.col("pos") - at)))
+        of = [F.col("off").cast("long"), F.floor(F.col("off") / half), F.floor((F.col("off") + F.floor(half / 2)) / half)]
+        return rows.withColumn("at", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), o.alias("o")) for k, o in enumerate(of)]))).select("*", "at.k", "at.o")
+
     steady = (F.col("n_slots") == F.col("n_ours")) & (F.col("n_slots") == F.col("n_theirs"))
-    out = out.filter(F.col("n_slots").isNull() | steady | F.expr("100 * n_plain >= share * item_windows"))
+    out = materialize(sums.join(told(values, pair), pair, "left").withColumn("kept", F.col("n_slots").isNull() | steady | F.expr("100 * n_plain >= share * item_windows")))
+    # Where the slots of all copies together clash, each copy is looked at.
+    unclear = out.filter("NOT kept").select(*pair)
+    here = placed(found).groupBy(*pair, "k", "o").agg(F.count_distinct("h").alias("n_here"), F.first("item_windows").alias("of"), F.first("share").alias("share")).filter("100 * n_here >= share * of").select(*pair, "k", "o", "n_here")
+    copies = told(placed(values), [*pair, "k", "o"]).filter(steady).join(here, [*pair, "k", "o"])
+    copies = copies.groupBy(*pair).agg(F.max(F.struct("n_here", (-F.col("n_changed")).alias("less"), "n_slots")).alias("copy"))
+    copies = copies.select(*pair, F.col("copy.n_slots").alias("n_slots"), (-F.col("copy.less")).alias("n_changed"))
+    single = out.select(*pair, "n_windows", "item_windows").join(copies, pair)
+    out = out.filter("kept").select(*pair, "n_windows", "item_windows", "n_slots", "n_changed").unionByName(single)
     return out.select(*pair, "n_windows", "item_windows", F.coalesce("n_slots", F.lit(0)).cast("long").alias("n_slots"), F.coalesce("n_changed", F.lit(0)).cast("long").alias("n_changed"))

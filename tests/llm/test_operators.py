@@ -212,6 +212,19 @@ def test_decontamination_finds_verbatim_and_reparameterised(spark):
     assert dc.decontaminate(docs(spark, rows), bench.limit(0)).collect() == []
 
 
+def test_decontamination_looks_at_each_copy(spark):
+    item = "A cook fills 5 jars with 7 plums and 9 figs then sells 3 of them to Anna for 8 coins"
+    other = item.replace("5", "6").replace("7", "6").replace("Anna", "Maria")
+    third = item.replace("9", "4").replace("3", "2")
+    wide = third.replace("then sells", "then quite gladly sells")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    far = "many words in between them " * 30
+    rows = [(1, f"first {item}. {far} {other}"), (2, f"so {other} {third} end"), (3, f"so {other} {far} {wide}"), (4, f"so {item} {far} he fills 6 jars with 6 plums and 4 figs"), (5, f"so {other} {far} {other}")]
+    got = {r.doc_id: r for r in dc.decontaminate(docs(spark, rows), bench).collect()}
+    assert set(got) == {1, 2, 3, 4}
+    assert got[1].n_changed == got[4].n_changed == 0 and got[2].n_changed == got[3].n_changed == 2
+
+
 def test_decontamination_on_tables(spark):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     got = {(r.doc_id, r.item_id) for r in dc.decontaminate(real(spark), bench).collect()}
