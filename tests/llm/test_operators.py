@@ -225,6 +225,13 @@ def test_decontamination_looks_at_each_copy(spark):
     assert got[1].n_changed == got[4].n_changed == 0 and got[2].n_changed == got[3].n_changed == 2
 
 
+def test_decontamination_finds_items_of_slots_and_capitals(spark):
+    bench = spark.createDataFrame([(1, "3 7 9 12 15 18 21 24 27 31"), (2, "Mary Anna Peter Paul Simon Andrew James John Luke"), (3, "Green ideas sleep very well"), (4, "Nine old men went down to the river"), (5, "Sum 14 and 25 36 47 58 69 now")], "item_id long, text string")
+    rows = [(1, "see 3 7 9 12 15 18 21 24 27 31 there"), (2, "names Mary Anna Peter Paul Simon Andrew James John Luke follow"), (3, "in a line\nGreen ideas sleep very well"), (4, "without an end\nNine old men went down to the river and"), (5, "so Sum 14 and 25 36 47 58 70 now"), (6, "so: sum 1 and 2 3 4 5 6 now"), (7, "5 8 2 77 15 18 91 24 27 33 and Eva Ida Ada Max Tom Jim Joe Ben Ron"), (8, "then. Sum 14 and 25 36 47 58 70 now")]
+    got = {(r.doc_id, r.item_id): r.n_changed for r in dc.decontaminate(docs(spark, rows), bench).collect()}
+    assert got == {(1, 1): 0, (2, 2): 0, (3, 3): 0, (4, 4): 0, (5, 5): 1, (8, 5): 1}
+
+
 def test_decontamination_on_tables(spark):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     got = {(r.doc_id, r.item_id) for r in dc.decontaminate(real(spark), bench).collect()}
