@@ -5,7 +5,7 @@
 * base counts: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed;
 * fertility under a byte-fallback vocabulary: n_tokens, chars_per_token, byte_share (tokens that are single bytes of the
   fallback, line feeds apart) and entropy (bits a token of the document's own token distribution);
-* script (of most of its letters) and kept: not base_failed, and every measure within the band of its script.
+* script (the one that holds more than half of all letters, else "other") and kept: not base_failed, and every measure within the band of its script.
 
 Words are handed to the vocabulary once per slice of texts: its merges never cross a space, so the tokens of a text are those
 of its words. Null text counts as empty (all counts 0, base_failed). Ties do not arise; repeated rows give repeated results;
@@ -15,6 +15,7 @@ columns other than doc_id and text are ignored. Memory is bounded by one slice o
 from __future__ import annotations
 
 import re
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -66,11 +67,23 @@ class Fertility:
         return [cache[w] for w in words]
 
 
+@cache
+def _letters() -> np.ndarray:
+    """For each code point 0 if it is no letter, else 1 + the place of its script in _SCRIPTS, or 1 + their number."""
+    kind = np.fromiter(map(str.isalpha, map(chr, range(0x110000))), dtype=np.uint8, count=0x110000)
+    other = kind > 0
+    kind[other] = 1 + len(_SCRIPTS)
+    for k, ranges in enumerate(_SCRIPTS.values(), 1):
+        for first, last in ranges:
+            kind[first : last + 1][other[first : last + 1]] = k
+    return kind
+
+
 def _script(text: str) -> str:
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    share = {k: sum(int(((points >= a) & (points <= b)).sum()) for a, b in v) for k, v in _SCRIPTS.items()}
-    best = max(share, key=share.get)
-    return best if share[best] else "other"
+    counts = np.bincount(_letters()[points], minlength=2 + len(_SCRIPTS))[1:]
+    best = int(counts.argmax())
+    return [*_SCRIPTS, "other"][best] if 2 * counts[best] > counts.sum() else "other"
 
 
 def repeated_words(ids: np.ndarray) -> int:

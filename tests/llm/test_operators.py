@@ -348,6 +348,20 @@ def test_quality_counts_match_brute_force(spark):
         assert not (r.base_failed and r.kept)
 
 
+def test_quality_script_is_that_of_most_letters(spark):
+    plain = {
+        "ar": "في القديم كان الناس يعيشون قرب النهر ويزرعون القمح والشعير كل عام وكانت المدينة الكبيرة تقع خلف الجبال البعيدة حيث يبيع التجار بضائعهم",
+        "he": "בימים ההם גרו אנשים רבים ליד הנהר וגידלו חיטה ושעורה בכל שנה והעיר הגדולה עמדה מאחורי ההרים הרחוקים שבהם מכרו הסוחרים את סחורתם",
+        "hi": "पुराने समय में लोग नदी के पास रहते थे और हर साल गेहूँ उगाते थे बड़ा शहर दूर पहाड़ों के पीछे था जहाँ व्यापारी अपना सामान बेचते थे",
+    }
+    rng = random.Random(4)
+    rows = [(k, " ".join(rng.choice(t.split()) for _ in range(200)) + end) for k, (t, end) in enumerate((t, e) for t in plain.values() for e in ("", " https://example.org/a"))]
+    rows += [(10, "the old town by the river " + "мир " * 2), (11, "123 !?")]
+    got = {r.doc_id: r for r in quality.quality_rules(docs(spark, rows)).collect()}
+    assert all(got[k].script == "other" and got[k].kept for k in range(6))
+    assert got[10].script == "latin" and got[11].script == "other"
+
+
 def test_pipeline_stages_take_effect(spark):
     import corpus_pipeline as p
 
