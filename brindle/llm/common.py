@@ -7,9 +7,11 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 import brindle
 
@@ -67,6 +69,61 @@ def text_slices(texts, limit: int = SLICE_CHARS):
         yield start, len(texts)
 
 
+def _parsed(schema: str) -> T.StructType:
+    return T._parse_datatype_string(schema)  # noqa: SLF001
+
+
+def per_slice(df: DataFrame, carry: list[str], text: str, make, schema: str, others: tuple[str, ...] = (), limit: int = SLICE_CHARS) -> DataFrame:
+    """The columns ``carry`` of ``df`` with those of ``schema``, which Python works out from slices of texts.
+
+    ``make()`` is called once a task and gives a function of (texts, *values of ``others``), lists of equal length. It returns
+    (rows, columns): for each row of output the place of its input row (None: one each, in order) and a list for each name of
+    ``schema``. What is carried passes through Arrow as it is: ids of any type and size, nulls beside them, never pandas.
+    """
+    added = _parsed(schema)
+    out = T.StructType([df.schema[c] for c in carry] + added.fields)
+    need = list(dict.fromkeys([*carry, text, *others]))
+    empty = not carry
+
+    def run(batches):
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        work, types = make(), [to_arrow_type(f.dataType) for f in added.fields]
+        for batch in batches:
+            texts = batch.column(need.index(text)).to_pylist()
+            more = [batch.column(need.index(c)).to_pylist() for c in others]
+            for a, b in text_slices(texts, limit):
+                rows, columns = work(texts[a:b], *[m[a:b] for m in more])
+                own = [batch.column(need.index(c)).slice(a, b - a) for c in carry]
+                if rows is not None:
+                    at = pa.array(rows, pa.int64())
+                    own = [c.take(at) for c in own]
+                new = [pa.array(columns[f.name], t) for f, t in zip(added.fields, types)]
+                if len(new[0] if empty else own[0]):
+                    yield pa.RecordBatch.from_arrays(own + new, names=[*carry, *added.names])
+
+    return df.select(*need).mapInArrow(run, out)
+
+
+#: Keys with so many rows or more are hot.
+HOT_ROWS = 5_000
+#: So many hot keys at most are broadcast; rows / HOT_ROWS bounds their number.
+BROADCAST_KEYS = 200_000
+
+
+def join_hot(rows: DataFrame, keyed: DataFrame, keys: list[str], weight: str, hot: int = HOT_ROWS) -> DataFrame:
+    """``rows`` inner-joined with ``keyed``, which has one row a key and in ``weight`` about how many of ``rows`` share the key.
+
+    The rows of a hot key don't meet in one task: hot keys are broadcast after a check of their number, which ``hot`` keeps at
+    a small share of the rows, and only rows of other keys are shuffled. Both inputs should be written tables. Keys aren't null.
+    """
+    many = keyed.filter(F.col(weight) >= hot)
+    if not 0 < many.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
+        return rows.join(keyed, keys)
+    few = rows.join(F.broadcast(many.select(*keys)), keys, "left_anti").join(keyed.filter(F.col(weight) < hot), keys)
+    return few.unionByName(rows.join(F.broadcast(many), keys))
+
+
 class WordHashes(dict):
     """word bytes -> stable 64-bit hash, remembering a bounded number of words."""
 

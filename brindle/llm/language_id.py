@@ -5,15 +5,19 @@ marks at both ends (so affixes show), longer affixes of three and four letters,
 fixed table of weights. Transitions between labels are learned too. Forward-backward gives each word's label probabilities in its
 sentence's context, so code-switched texts are labelled part by part; a document's score for a language is the mean over its words.
 
-*Training* takes a bounded sample (``MAX_TRAIN_DOCS`` labelled documents, in the order of a hash, ``MAX_TRAIN_CHARS`` characters
-each) to the driver, cuts it into short stretches and strings stretches of different languages together, so that transitions
-are seen; the gradient of the log-likelihood comes from forward-backward. Text and language are all that it learns from.
+*Training* takes a bounded sample of labelled documents to the driver, whole texts: for each language an equal part of
+``MAX_TRAIN_DOCS`` documents and of ``MAX_TRAIN_CHARS`` characters, in the order of a hash, so that rare languages are in it; documents
+of over ``MAX_DOC_CHARS`` characters aren't drawn. Texts are cut into short stretches, and stretches of different languages
+strung together, so that transitions are seen; the gradient of the log-likelihood comes from forward-backward. Text and language
+are all that it learns from.
 
 *Prediction* covers every word of every text. Long texts are cut into blocks of words whose transfer matrices are multiplied, which is
-exact, so no text takes more than a few vectorised steps and memory is bounded by a slice of texts.
+exact, so no text takes more than a few vectorised steps; memory is bounded by a slice of texts, smaller for more languages, or
+the longest text.
 
-A null text or one without letters is "und" with score 0; null languages aren't learned; with no labelled document all is "und".
-Repeated rows give repeated results; ties go to the first language by name; other columns are ignored.
+A null text or one without letters (Unicode category L) is "und" with score 0; null languages aren't learned; with no labelled
+document all is "und". Ids pass through as they are, null or not. Repeated rows give repeated results; ties go to the first language
+by name; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,16 +26,25 @@ import re
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.llm.common import mix64, text_slices
+from brindle.llm.common import mix64, per_slice
 
-MAX_TRAIN_DOCS, MAX_TRAIN_CHARS = 3000, 3000
+MAX_TRAIN_DOCS, MAX_TRAIN_CHARS, MAX_DOC_CHARS = 3000, 12_000_000, 100_000
 BITS, BLOCK, STEPS, BATCH, LENGTH = 17, 32, 300, 64, 24
+#: Characters of these words are letters, but for a few numbers (a half, a superscript, a Roman numeral sign).
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
+def words_of(text: str | None) -> list[str]:
+    """Runs of letters (Unicode category L), lower case."""
+    found = _LETTERS.findall(text.lower()) if text else []
+    if all(map(str.isalpha, found)):
+        return found
+    return [part for w in found for part in (w if w.isalpha() else "".join(c if c.isalpha() else " " for c in w)).split()]
+
+
 def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Feature numbers of all words on end, and where each word's begin."""
     points = np.frombuffer("".join(f"\x02{w}\x03" for w in words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
@@ -119,7 +132,7 @@ def train(texts: list[str], labels: list[str]) -> tuple[list[str], np.ndarray, n
     names = sorted(set(labels))
     docs: dict[int, list[list[str]]] = {k: [] for k in range(len(names))}
     for t, lab in zip(texts, labels):
-        if w := [x.lower() for x in _LETTERS.findall(t)]:
+        if w := words_of(t):
             docs[names.index(lab)].append(w)
     names = [x for k, x in enumerate(names) if docs[k]]
     pools = [v for v in docs.values() if v]
@@ -183,7 +196,7 @@ def predict(texts: list, model) -> list[tuple[str, float]]:
     names, W, T = model
     words, sizes = [], []
     for t in texts:
-        own = _LETTERS.findall(t.lower()) if isinstance(t, str) else []
+        own = words_of(t)
         words += own
         sizes.append(len(own))
     sizes = np.array(sizes, dtype=np.int64)
@@ -201,14 +214,21 @@ def predict(texts: list, model) -> list[tuple[str, float]]:
     return out
 
 
-def fit(labelled: DataFrame):
+def fit(labelled: DataFrame, max_docs: int = MAX_TRAIN_DOCS, max_chars: int = MAX_TRAIN_CHARS):
     """A model from rows (doc_id, text, lang). doc_id only picks the sample."""
-    part = labelled.filter("lang IS NOT NULL AND text IS NOT NULL").select(F.xxhash64("doc_id").alias("h"), F.substring("text", 1, MAX_TRAIN_CHARS).alias("text"), "lang")
-    # Only hashes under a cut that leaves about twice the sample are sorted, so partitions send few texts each.
-    n = max(1, part.select(F.lit(1)).count())
-    cut = int(-(1 << 63) + (1 << 64) * min(1.0, 2 * MAX_TRAIN_DOCS / n))
-    low = part if 2 * MAX_TRAIN_DOCS >= n else part.filter(F.col("h") < cut)
-    rows = low.orderBy("h", "text", "lang").limit(MAX_TRAIN_DOCS).collect()  # MAX_TRAIN_DOCS * MAX_TRAIN_CHARS bounds it
+    size = F.length("text").cast("long")
+    part = labelled.filter("lang IS NOT NULL AND text IS NOT NULL").select(F.xxhash64("doc_id").alias("h"), size.alias("size"), "text", "lang").filter(F.col("size") <= MAX_DOC_CHARS)
+    counts = part.groupBy("lang").count().collect()  # one row a language
+    if not counts:
+        return None
+    docs, chars = max(1, max_docs // len(counts)), max_chars // len(counts)
+    # Only hashes under a cut that leaves about twice a language's part are sorted, so few texts are moved.
+    cuts = [(r["lang"], min((1 << 63) - 1, -(1 << 63) + int((1 << 64) * min(1.0, 2 * docs / r["count"])))) for r in counts]
+    cuts = labelled.sparkSession.createDataFrame(cuts, "lang string, cut long")
+    low = part.join(F.broadcast(cuts), "lang").filter("h <= cut")
+    order = Window.partitionBy("lang").orderBy("h", "size", "text")
+    low = low.withColumns({"nth": F.row_number().over(order), "before": F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1))})
+    rows = low.filter((F.col("nth") <= docs) & (F.coalesce("before", F.lit(0)) <= chars)).orderBy("lang", "nth").select("text", "lang").collect()  # max_chars bounds it
     return train([r["text"] for r in rows], [r["lang"] for r in rows])
 
 
@@ -216,12 +236,15 @@ def identify_language(docs: DataFrame, model) -> DataFrame:
     """``docs`` (doc_id, text, held_out) with lang_pred and score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2^BITS weights a language
 
-    def run(batches):
+    def make():
         known = shared.value
-        for pdf in batches:
-            texts = pdf["text"].tolist()
-            for a, b in text_slices(texts, 3_000_000):
-                got = predict(texts[a:b], known) if known else [("und", 0.0)] * (b - a)
-                yield pd.DataFrame({"doc_id": pdf["doc_id"].iloc[a:b], "held_out": pdf["held_out"].iloc[a:b], "lang_pred": [g[0] for g in got], "score": [g[1] for g in got]})
 
-    return docs.select("doc_id", "text", "held_out").mapInPandas(run, "doc_id long, held_out boolean, lang_pred string, score double")
+        def work(texts):
+            got = predict(texts, known) if known else [("und", 0.0)] * len(texts)
+            return None, {"lang_pred": [g[0] for g in got], "score": [g[1] for g in got]}
+
+        return work
+
+    n = len(model[0]) if model else 1
+    # a block's transfer matrix has a cell for each pair of languages
+    return per_slice(docs, ["doc_id", "held_out"], "text", make, "lang_pred string, score double", limit=max(50_000, 3_000_000 * 16 // max(16, n * n)))

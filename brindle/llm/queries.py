@@ -15,7 +15,7 @@ from brindle.llm.line_dedup import line_dedup
 from brindle.llm.packing import pack
 from brindle.llm.pii import find_pii
 from brindle.llm.quality import quality_rules
-from brindle.llm.warc_audit import fixity_audit, warc_records
+from brindle.llm.warc_audit import fixity_audit, warc_digests, warc_records
 
 
 def op1_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,11 +35,13 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_warc_fixity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Audits a replica with planted damage: by the hash of their digests, 1 in 256 records is altered and 1 in 256 lost."""
-    a = warc_records(table(spark, sf_dir, "pages"))
-    mark = F.substring("digest", 1, 2)
-    b = a.filter(mark != "01").withColumn("digest", F.when(mark == "00", F.sha2(F.concat(F.lit("~"), "digest"), 256)).otherwise(F.col("digest")))
-    return fixity_audit(a, b)
+    """Audits a replica with planted damage: by the hash of their digests, 1 in 16 records has its first byte altered and 1 in
+    16 can't be read. The replica's digests are taken from its own bytes."""
+    a = warc_records(table(spark, sf_dir, "pages"), body=True)
+    mark = F.substring("digest", 1, 1)
+    bytes_of_b = F.when(mark == "0", F.concat(F.lit("~"), F.substring("record", 2, 2**31 - 1))).otherwise(F.col("record"))
+    b = a.filter(mark != "1").withColumn("record", bytes_of_b)
+    return fixity_audit(a, warc_digests(b))
 
 
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,15 +86,16 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op5_warc_fixity_audit": """
 WITH r AS (
-  SELECT coalesce(page_id // 1000, -1) AS archive, page_id,
+  SELECT page_id,
          'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '')
          || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || strlen(coalesce(html, ''))
          || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS record
   FROM pages),
-d AS (SELECT archive, page_id, strlen(record) AS length, sha256(record) AS digest FROM r),
-o AS (SELECT archive, digest, CAST(coalesce(sum(length) OVER (PARTITION BY archive ORDER BY page_id, digest ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM d)
-SELECT archive, "offset", CASE WHEN digest LIKE '01%' THEN 'missing' ELSE 'corrupt' END AS status, digest AS digest_a,
-       CASE WHEN digest LIKE '01%' THEN '' ELSE sha256('~' || digest) END AS digest_b
-FROM o WHERE digest LIKE '00%' OR digest LIKE '01%'
+d AS (SELECT page_id, strlen(record) AS length, sha256(record) AS digest, sha256('~' || substr(record, 2)) AS altered FROM r),
+p AS (SELECT *, coalesce(page_id // 1000, -1 - CAST('0x' || substr(digest, 1, 4) AS BIGINT)) AS archive FROM d),
+o AS (SELECT archive, digest, altered, CAST(coalesce(sum(length) OVER (PARTITION BY archive ORDER BY page_id NULLS FIRST, digest ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM p)
+SELECT archive, "offset", CASE WHEN digest LIKE '1%' THEN 'missing' ELSE 'corrupt' END AS status, digest AS digest_a,
+       CASE WHEN digest LIKE '1%' THEN '' ELSE altered END AS digest_b
+FROM o WHERE digest LIKE '0%' OR digest LIKE '1%'
 """,
 }
