@@ -1,18 +1,24 @@
 """Main text of web pages, by site template removal.
 
-A page is read as a tree of elements (forgiving of unclosed and misnested tags; a tag cut off by the end of the page is dropped).
-Every block-level subtree is hashed from its tags and text. Spark counts, per host, on how many pages each subtree occurs; a
-subtree that recurs on many pages of its host is template and is deleted. Subtrees that hold the article, or half of a page's text
-where none is marked, are never deleted; inside the article the recurrence must be much stronger, since copied articles
-share paragraphs too. What HTML itself says isn't article goes as well: menus, headers, footers, sidebars, notices, adverts,
-forms, scripts, styles and reader comments, by element, role, or class and id words.
+A page is read once, as a tree of elements (forgiving of unclosed and misnested tags; a tag cut off by the end of the page is
+dropped). Every block-level subtree with text is hashed from its tags and text, whatever its element or class. Spark counts on how
+many pages of its host each subtree occurs; a subtree that recurs on many of them is template and is deleted. Subtrees that hold
+a marked article, or half of a page's text where none is marked, are never deleted; inside an article the recurrence must be
+much stronger, since copied articles share paragraphs too, and so for single paragraphs and headings anywhere.
+
+After that, what HTML itself says isn't article goes: scripts, styles, forms, menus, headers, footers and asides by element or
+role, hidden elements, and where a page marks an article, all that lies outside it. Of classes and ids only words that can't
+mean article text count (``_NAMES``: adverts, cookie notices, reader comments, menus), on containers alone, so that what a template
+count can't tell on a host of few pages goes too.
 
 The rest is cut into blocks at block-level elements; white space inside a block becomes one space (a line break is white space),
-blocks are joined by an empty line. Per host only recurring subtrees are kept: those on a share s of the pages are at most 1/s
-times a page's subtrees, so a host's list is bounded; the table of them is broadcast only after its size is checked.
+blocks are joined by an empty line. Blocks and subtrees of a page are written once; deleting and joining need no second reading
+of the html. Per host only recurring subtrees are kept: those on a share s of the pages are at most 1/s times a page's subtrees.
+Hosts with very many pages are never a join key of a shuffle.
 
 Null or empty html gives the empty text; a null or odd url has no host and loses no template; a page that occurs twice counts
-twice; ties can't arise; other columns are ignored; an empty table gives an empty result.
+twice and is returned twice; ids pass through as they are, null or not; ties can't arise; other columns are ignored, also where
+their names clash; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,64 +26,75 @@ from __future__ import annotations
 import html as _html
 import re
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import materialize, text_slices
+from brindle.llm.common import BROADCAST_KEYS, join_hot, materialize, per_slice
 
-#: Subtrees outside the article are template from so many pages and so large a share of the host's pages on; inside: the second pair.
-OUTSIDE, INSIDE = (5, 0.1), (20, 0.6)
+#: Subtrees outside an article are template from so many pages and so large a share of the host's pages on; inside one, and
+#: single paragraphs and headings: the second pair.
+OUTSIDE, INSIDE = (5, 0.005), (20, 0.6)
 #: So many (host, subtree) rows at most are broadcast.
 BROADCAST_ROWS = 400_000
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 _BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody tfoot thead tr ul head noscript caption".split())
-_GONE = frozenset("head script style nav footer aside form noscript iframe svg button select template dialog object applet canvas audio video textarea input menu search math title fieldset datalist noembed noframes".split())
+#: Never text of a page: their subtrees aren't counted either.
+_UNSEEN = frozenset("head script style noscript iframe svg template object applet canvas audio video math title noembed noframes datalist".split())
+#: Not article by element.
+_GONE = frozenset("nav footer aside form button select dialog textarea input menu search fieldset".split())
+_ROLES = re.compile(r"\brole\s*=\s*[\"']?(?:navigation|banner|contentinfo|complementary|search|dialog|alert|alertdialog|form|menu|menubar)\b", re.I)
+_HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+#: Classes and ids, whole words of them, that can't mean article text; and the elements on which they count.
+_NAMES = re.compile(r"(?<!\S)(?:ads?|advert|adverts|advertisement|adsbygoogle|sponsored|cookie-?(?:banner|notice|consent|bar)|gdpr|comments?|comment-?list|disqus_thread|sidebar|navbar|breadcrumbs?|site-?(?:header|footer|nav)|newsletter)(?!\S)", re.I)
+_CONTAINERS = frozenset("div section ul ol table ins center dl".split())
 _CLOSES_P = _BLOCK - {"html", "body", "head", "option", "optgroup", "caption", "legend"}
 _SAME = {"li": ("li", "ul ol menu dir"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select datalist")}
 _SAME = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in _SAME.items()}
-_ROLES = re.compile(r"\brole\s*=\s*[\"']?(?:navigation|banner|contentinfo|complementary|search|dialog|alert|alertdialog|form|menu|menubar|note)\b", re.I)
-_NAMES = re.compile(r"(?<![^\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookie\w*|consent|gdpr|comments?|commentlist|replies|respond|disqus\w*|sidebar\w*|side|menu\w*|nav|navbar|navigation|footer|header|masthead|topbar|breadcrumbs?|share|sharing|social\w*|related|recommended|newsletter\w*|subscribe|signup|login|popup|modal|overlay|notice|notification|alert|disclaimer|widget\w*|pagination|pager|toolbar|skip)(?![^\s_-])", re.I)
+#: Elements of prose: judged as strictly outside an article as in it, since paragraphs are quoted.
+_PROSE = frozenset("p h1 h2 h3 h4 h5 h6 hgroup blockquote pre figcaption summary dd dt caption".split())
+#: Elements that an end tag of an inline element doesn't reach through.
+_SCOPES = _BLOCK | {"td", "th"}
 _IDS = re.compile(r"\b(?:class|id)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+_MAIN = re.compile(r"\brole\s*=\s*[\"']?(?:main|article)\b", re.I)
 _TOKEN = re.compile(r"<!--.*?(?:--!?>|$)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|[^>]*(?:>|$))|<[!?][^>]*(?:>|$)|</[^>]*(?:>|$)", re.S)
-_HOST = re.compile(r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)")
-
 
-def host_of(url) -> str:
-    m = _HOST.match(url) if isinstance(url, str) else None
-    return m.group(1).lower() if m else ""
+#: Kinds of blocks: left out by HTML's signs, plain, in an article.
+GONE, PLAIN, ARTICLE = 0, 1, 2
 
 
 class _Node:
-    __slots__ = ("tag", "gone", "inside", "main", "parts", "first", "block")
+    __slots__ = ("article", "at", "block", "first", "gone", "holds_main", "parts", "tag", "unseen")
 
-    def __init__(self, tag, gone, inside, first, block):
-        self.tag, self.gone, self.inside, self.main, self.parts, self.first, self.block = tag, gone, inside, False, [tag], first, block
+    def __init__(self, tag, unseen, gone, article, first, at, block):
+        self.tag, self.unseen, self.gone, self.article, self.first, self.at, self.block = tag, unseen, gone, article, first, at, block
+        self.holds_main, self.parts = False, [tag]
 
 
-def _not_article(tag: str, attrs: str, inside: bool) -> bool:
-    if tag in _GONE:
+def _not_article(tag: str, attrs: str, article: bool) -> bool:
+    if tag in _GONE or tag == "header" and not article:
         return True
-    if tag == "header" and not inside:
-        return True
-    if len(attrs) < 2 or tag in ("html", "body"):
+    if len(attrs) < 5 or tag in ("html", "body"):
         return False
     if _ROLES.search(attrs) or _HIDDEN.search(attrs):
         return True
-    return any(_NAMES.search(a or b or c) for a, b, c in _IDS.findall(attrs))
+    return tag in _CONTAINERS and any(_NAMES.search(a or b or c) for a, b, c in _IDS.findall(attrs))
 
 
-def read_page(page: str) -> tuple[list[tuple[str, bool]], list[tuple[int, int, int, int, bool]]]:
-    """Blocks (text, in an article) left by HTML's own signs, and subtrees (hash, first block, end block, characters, in an article)."""
+def read_page(page: str) -> tuple[list[str], list[int], list[tuple[int, int, int, bool]]]:
+    """Blocks of text, their kinds, and subtrees that may be template: (hash, first block, end block, in an article or prose)."""
     import xxhash
 
-    blocks: list[tuple[str, bool]] = []
-    subtrees: list[tuple[int, int, int, int, bool]] = []
-    root = _Node("", False, False, 0, True)
-    stack, buffer = [root], []
+    blocks: list[str] = []
+    kinds: list[int] = []
+    before = [0]  # characters before each block
+    subtrees: list[tuple[int, int, int, bool]] = []
+    stack = [_Node("", False, False, False, 0, 0, True)]
+    scopes = [0]  # places in the stack of the elements in _SCOPES
+    inline: list[dict[str, int]] = [{}]  # open inline elements within each of them
+    opened: dict[str, int] = {}  # open elements of each tag
+    buffer: list[str] = []
     at, end = 0, len(page)
 
     def flush():
@@ -85,25 +102,39 @@ def read_page(page: str) -> tuple[list[tuple[str, bool]], list[tuple[int, int, i
             text = " ".join("".join(buffer).split())
             buffer.clear()
             if text:
-                blocks.append((text, stack[-1].inside))
+                top = stack[-1]
+                blocks.append(text)
+                kinds.append(GONE if top.gone else ARTICLE if top.article else PLAIN)
+                before.append(before[-1] + len(text))
 
     def text_to(stop: int):
         if stop > at:
             top, piece = stack[-1], page[at:stop]
             top.parts.append(piece)
-            if not top.gone:
+            if not top.unseen:
                 buffer.append(_html.unescape(piece) if "&" in piece else piece)
 
-    def close(node: _Node):
-        if node.block and not node.gone:
+    def close():
+        node = stack[-1]
+        if node.block or node.gone and not stack[-2].gone:
             flush()
         stack.pop()
+        opened[node.tag] -= 1
+        if scopes[-1] == len(stack):
+            scopes.pop()
+            inline.pop()
+        else:
+            inline[-1][node.tag] -= 1
         parent = stack[-1]
         digest = xxhash.xxh64_intdigest("\x1f".join(node.parts).encode("utf-8", "surrogatepass"))
         parent.parts.append(f"\x1e{digest:x}")
-        parent.main |= node.main
-        if node.block and not node.main and len(blocks) > node.first and not node.gone:
-            subtrees.append((digest - (1 << 64) if digest >> 63 else digest, node.first, len(blocks), sum(len(b[0]) for b in blocks[node.first :]), node.inside))
+        parent.holds_main |= node.holds_main
+        if node.block and not node.unseen and not node.holds_main and len(blocks) > node.first:
+            subtrees.append((digest - (1 << 64) if digest >> 63 else digest, node.first, len(blocks), node.article or node.tag in _PROSE))
+
+    def close_to(depth: int):
+        while len(stack) > depth:
+            close()
 
     while at < end:
         m = _TOKEN.search(page, at)
@@ -121,105 +152,122 @@ def read_page(page: str) -> tuple[list[tuple[str, bool]], list[tuple[int, int, i
         if closing:
             if tag == "br":
                 buffer.append(" ")
-            depth = next((i for i in range(len(stack) - 1, max(0, len(stack) - 200), -1) if stack[i].tag == tag), 0)
-            while depth and len(stack) > depth:
-                close(stack[-1])
+            if tag in _SCOPES:
+                if opened.get(tag):
+                    k = len(scopes) - 1
+                    while stack[scopes[k]].tag != tag:
+                        k -= 1
+                    close_to(scopes[k])
+            elif inline[-1].get(tag):
+                while stack[-1].tag != tag:
+                    close()
+                close()
             continue
         if tag in _VOID:
             if tag == "hr":
                 flush()
-            elif not stack[-1].gone:
-                buffer.append(" " if tag == "br" else "")
+            elif tag == "br" and not stack[-1].unseen:
+                buffer.append(" ")
             stack[-1].parts.append(f"<{tag}>")
             continue
-        if tag in _CLOSES_P:
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == "p" or stack[i].block and stack[i].tag != "p"), 0)
-            if depth and stack[depth].tag == "p":
-                while len(stack) > depth:
-                    close(stack[-1])
+        if tag in _CLOSES_P and stack[scopes[-1]].tag == "p":
+            close_to(scopes[-1])
         if tag in _SAME:
             ends, stops = _SAME[tag]
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag in ends or stack[i].tag in stops), 0)
-            if depth and stack[depth].tag in ends:
-                first = depth
-                while first > 1 and stack[first - 1].tag in ends:
-                    first -= 1
-                while len(stack) > first:
-                    close(stack[-1])
+            if any(opened.get(t) for t in ends):
+                k = len(scopes) - 1
+                while k > 0 and stack[scopes[k]].tag not in ends and stack[scopes[k]].tag not in stops:
+                    k -= 1
+                if stack[scopes[k]].tag in ends:
+                    while k > 1 and stack[scopes[k - 1]].tag in ends:
+                        k -= 1
+                    close_to(scopes[k])
         top = stack[-1]
         block = tag in _BLOCK
-        if block and not top.gone:
+        gone = top.gone or not top.unseen and _not_article(tag, attrs, top.article)
+        if block or gone and not top.gone:
             flush()
-        elif tag in ("td", "th") and not top.gone:
+        elif tag in ("td", "th"):
             buffer.append(" ")
-        gone = top.gone or _not_article(tag, attrs, top.inside)
-        main = not gone and (tag in ("article", "main") or "role" in attrs and re.search(r"\brole\s*=\s*[\"']?(?:main|article)\b", attrs, re.I) is not None)
-        node = _Node(tag, gone, top.inside or main, len(blocks), block)
-        node.main = main
+        unseen = top.unseen or tag in _UNSEEN
+        main = not gone and not unseen and (tag in ("article", "main") or "role" in attrs and _MAIN.search(attrs) is not None)
+        node = _Node(tag, unseen, gone, top.article or main, len(blocks), len(stack), block)
+        node.holds_main = main
         stack.append(node)
+        opened[tag] = opened.get(tag, 0) + 1
+        if tag in _SCOPES:
+            scopes.append(node.at)
+            inline.append({})
+        else:
+            inline[-1][tag] = inline[-1].get(tag, 0) + 1
         if tag in _RAW:
             stop = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at)
             stop = stop.start() if stop else end
             text_to(stop)
             at = stop
         elif attrs.endswith("/>") and tag in ("path", "g", "use", "circle", "rect"):
-            close(node)
-    while len(stack) > 1:
-        close(stack[-1])
+            close()
     flush()
-    return blocks, subtrees
+    close_to(1)
+    if ARTICLE not in kinds:
+        half = before[-1] / 2
+        subtrees = [s for s in subtrees if before[s[2]] - before[s[1]] < half]
+    return blocks, kinds, subtrees
 
 
-def _deletable(blocks, subtrees):
-    """Subtrees that may be template: not half of the page's text where no article is marked."""
-    marked = any(inside for _, inside in blocks)
-    half = sum(len(t) for t, _ in blocks) / 2
-    return marked, [s for s in subtrees if marked or s[3] < half]
+def parsed_pages(pages: DataFrame) -> DataFrame:
+    """page_id, url, host, blocks, kinds, subtrees of each page; written. A page's subtrees are distinct by hash and place."""
 
+    def make():
+        def work(texts):
+            out = {"blocks": [], "kinds": [], "subtrees": []}
+            for t in texts:
+                blocks, kinds, subtrees = read_page(t or "")
+                out["blocks"].append(blocks)
+                out["kinds"].append(kinds)
+                out["subtrees"].append([{"hash": h, "first": a, "last": b - 1, "inside": i} for h, a, b, i in subtrees])
+            return None, out
 
-def main_text(page: str, template=frozenset()) -> str:
-    blocks, subtrees = read_page(page)
-    marked, subtrees = _deletable(blocks, subtrees)
-    drop = {i for h, a, b, _, inside in subtrees if (h, inside) in template for i in range(a, b)}
-    return "\n\n".join(t for i, (t, inside) in enumerate(blocks) if i not in drop and (inside or not marked))
+        return work
 
+    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
+    held = pages.select("page_id", "url", "html", host.alias("host"))
+    schema = "blocks array<string>, kinds array<int>, subtrees array<struct<hash: bigint, first: int, last: int, inside: boolean>>"
+    return materialize(per_slice(held, ["page_id", "url", "host"], "html", make, schema, limit=4_000_000))
 
-def site_templates(pages: DataFrame) -> DataFrame:
-    """(host, template: array of (hash, inside)) of the subtrees that recur on a host."""
-
-    def run(batches):
-        for pdf in batches:
-            rows = []
-            for url, page in zip(pdf["url"], pdf["html"]):
-                host = host_of(url)
-                if host:
-                    rows.append((host, 0, None))
-                    if isinstance(page, str):
-                        rows += [(host, h, i) for h, i in {(s[0], s[4]) for s in _deletable(*read_page(page))[1]}]
-            yield pd.DataFrame(rows, columns=["host", "hash", "inside"])
 
-    counts = pages.select("url", "html").mapInPandas(run, "host string, hash long, inside boolean").groupBy("host", "hash", "inside").count()
-    counts = materialize(counts.filter(f"count >= {OUTSIDE[0]}"))
-    totals = counts.filter("inside IS NULL").select("host", F.col("count").alias("pages"))
+def site_templates(parsed: DataFrame) -> DataFrame:
+    """(host, pages, template: array of (hash, inside), size) of the subtrees that recur on a host."""
+    seen = parsed.filter("host <> ''")
+    once = F.array_distinct(F.transform("subtrees", lambda s: F.struct(s.hash.alias("hash"), s.inside.alias("inside"))))
+    counts = materialize(seen.select("host", F.explode(once).alias("s")).groupBy("host", "s.hash", "s.inside").count().filter(f"count >= {OUTSIDE[0]}"))
+    totals = seen.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     (n0, s0), (n1, s1) = OUTSIDE, INSIDE
-    often = counts.filter("inside IS NOT NULL").join(totals, "host").filter(F.expr(f"IF(inside, count >= {n1} AND count >= {s1} * pages, count >= {n0} AND count >= {s0} * pages)"))
-    return often.groupBy("host").agg(F.collect_list(F.struct("hash", "inside")).alias("template"), F.count(F.lit(1)).alias("size"))
+    often = counts.join(totals, "host").filter(F.expr(f"IF(inside, count >= {n1} AND count >= {s1} * pages, count >= {n0} AND count >= {s0} * pages)"))
+    return materialize(often.groupBy("host").agg(F.first("pages").alias("pages"), F.collect_list(F.struct("hash", "inside")).alias("template"), F.count(F.lit(1)).alias("size")))
 
 
-def extract_main_text(pages: DataFrame) -> DataFrame:
-    """One row a page: page_id, url, text, n_chars."""
-    templates = materialize(site_templates(pages))
-    rows = templates.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first()["n"]
-    templates = templates.select("host", "template")
-    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
-    held = pages.select("page_id", "url", "html", host.alias("host"))
-    held = held.join(F.broadcast(templates) if rows <= BROADCAST_ROWS else templates, "host", "left").select("page_id", "url", "html", "template")
+def main_text(parsed: DataFrame) -> DataFrame:
+    """``parsed`` with text, from its blocks; the column template holds its host's (null: none)."""
+    dropped = F.filter("subtrees", lambda s: F.array_contains("template", F.struct(s.hash.alias("hash"), s.inside.alias("inside"))))
+    gone = F.array_distinct(F.flatten(F.transform(dropped, lambda s: F.sequence(s["first"], s["last"]))))
+    parsed = parsed.withColumn("gone", F.when(F.col("template").isNotNull(), gone))
+    least = F.when(F.array_contains("kinds", ARTICLE), ARTICLE).otherwise(PLAIN)
+    parsed = parsed.withColumn("least", least)
+    stays = lambda k, i: (k >= F.col("least")) & ~F.coalesce(F.array_contains("gone", i), F.lit(False))
+    held = F.transform("kinds", lambda k, i: F.when(stays(k, i), F.get("blocks", i)))
+    return parsed.withColumn("text", F.array_join(held, "\n\n"))
 
-    def run(batches):
-        for pdf in batches:
-            for a, b in text_slices(pdf["html"].tolist(), 4_000_000):
-                part = pdf.iloc[a:b]
-                texts = [main_text(p if isinstance(p, str) else "", frozenset((x["hash"], x["inside"]) for x in t) if t is not None else frozenset()) for p, t in zip(part["html"], part["template"])]
-                yield pd.DataFrame({"page_id": part["page_id"], "url": part["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
-    return held.mapInPandas(run, "page_id long, url string, text string, n_chars long")
+def extract_main_text(pages: DataFrame) -> DataFrame:
+    """One row a page: page_id, url, text, n_chars, and n_template, its blocks that lay in template subtrees."""
+    parsed = parsed_pages(pages)
+    templates = site_templates(parsed)
+    sums = templates.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("rows"), F.count(F.lit(1)).alias("hosts")).first()
+    if sums["rows"] <= BROADCAST_ROWS and sums["hosts"] <= BROADCAST_KEYS:
+        held = parsed.join(F.broadcast(templates.select("host", "template")), "host", "left")
+    else:
+        known = templates.select("host")
+        held = join_hot(parsed, templates, ["host"], "pages").unionByName(parsed.join(known, "host", "left_anti"), allowMissingColumns=True)
+    out = main_text(held)
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), F.greatest(F.coalesce(F.size("gone"), F.lit(0)), F.lit(0)).cast("long").alias("n_template"))
