@@ -3,11 +3,13 @@
 A text becomes a template, word for word: a number is <num>, a unit after a number is <unit>, a capitalised word that doesn't
 open a sentence is <name>; other words are lower-cased and lose outer punctuation. Placeholders are slots. Windows of 8 template
 words are hashed (by doubling: hashes of 1, 2, 4, 8 words) and joined with those of the benchmark; an item of 4 to 7 words has
-windows of 4, all of which must be found; shorter items aren't looked for. Item windows of more than half slots say too little
+windows of 4, all of which must be found. A shorter item is found where a whole line of a document says it, in plain words: any
+less would find every text that holds such a phrase. Item windows of more than half slots say too little
 and aren't used, but for items that have no others: then those with a word besides slots are, and half of the values must be
 the item's own. A document is a candidate for an item when it holds ``min_percent`` percent of the item's distinct windows.
 Beside templates, windows of the plain lower-cased words are joined in the same way: a document that holds all of an item's
-holds it verbatim, whatever its slots. Of an item of numbers or names only, which has no template window, the share is enough.
+holds it verbatim, whatever its slots. Of an item of numbers or names only, which has no template window, the share is enough;
+with other values such an item is any list of numbers or names, and so can't be told.
 
 Slots of matched windows are then compared: each value of the item must stand for one value of the document and the other way
 round (7 -> 12 everywhere). A candidate whose slots clash stays only if windows without slots reach the share on their own, or
@@ -15,8 +17,9 @@ if one occurrence, by the difference of positions in document and item, reaches
 Verbatim copies are consistent by nature, re-parameterised questions are so too.
 
 Returns a row for each (doc_id, item_id) found: n_windows (matched, distinct), item_windows, n_slots (distinct pairs of values),
-n_changed (those that differ); what only plain words found has their windows and no slots. Null texts hold no words, rows with null ids are skipped, repeated rows count once (also rows that
-share an id: their windows are joined), extra columns are ignored, empty tables give no rows. Benchmark windows are
+n_changed (those that differ); what only plain words found has their windows and no slots. Null texts hold no words, rows with
+null ids are skipped, repeated rows count once (also rows that share an id: their windows are joined), extra columns are ignored,
+also where their names clash, empty tables give no rows; a text of any length is one row of windows. Benchmark windows are
 broadcast only after their number is checked; larger benchmarks take a shuffled join.
 """
 
@@ -88,6 +91,14 @@ def _verbatim(docs: DataFrame, items: DataFrame, usable: DataFrame, width: int,
     return sums.filter("100 * n_windows >= least * item_windows").drop("least")
 
 
+def _whole_lines(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, item_id) where a line of the document is the item, in plain words; for items of one to three words."""
+    lines = F.transform(F.split(F.col("text"), "\n"), lambda x: F.array_join(_words(_bare(x)), " "))
+    lines = docs.select(F.col("id").alias("doc_id"), F.explode(F.array_distinct(F.filter(lines, lambda x: x != ""))).alias("line"))
+    own = items.select(F.col("id").alias("item_id"), F.array_join("b", " ").alias("line"))
+    return lines.join(own, "line").select("doc_id", "item_id").distinct()
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, min_percent: int = MIN_PERCENT) -> DataFrame:
     docs = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").alias("id"), "text")
     items = benchmark.filter("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").alias("id"), "text").distinct()
@@ -151,4 +162,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, min_percent: int = MIN_
         out = materialize(out)
         verbatim = verbatim.join(out.select(*pair), pair, "left_anti").select(*pair, "n_windows", "item_windows", F.lit(0).alias("n_slots"), F.lit(0).alias("n_changed"))
         out = out.unionByName(verbatim)
+    short = items.filter("size(b) BETWEEN 1 AND 3 AND size(t) < 4")
+    if short.limit(1).count():
+        whole = _whole_lines(docs, short).select(*pair, F.lit(1).alias("n_windows"), F.lit(1).alias("item_windows"), F.lit(0).alias("n_slots"), F.lit(0).alias("n_changed"))
+        out = out.unionByName(whole)
     return out.select(*pair, "n_windows", "item_windows", F.coalesce("n_slots", F.lit(0)).cast("long").alias("n_slots"), F.coalesce("n_changed", F.lit(0)).cast("long").alias("n_changed"))
