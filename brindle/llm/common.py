@@ -38,12 +38,21 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, **options: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/brindle-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.options(**options).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what ``materialize`` wrote for these, once nothing reads them any more."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.written)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 #: So many ids (8 bytes each) at most are broadcast.
@@ -105,23 +114,43 @@ def per_slice(df: DataFrame, carry: list[str], text: str, make, schema: str, oth
     return df.select(*need).mapInArrow(run, out)
 
 
-#: Keys with so many rows or more are hot.
+#: Keys with so many rows or more are hot, or so many times as many that at most ``BROADCAST_KEYS`` are.
 HOT_ROWS = 5_000
-#: So many hot keys at most are broadcast; rows / HOT_ROWS bounds their number.
 BROADCAST_KEYS = 200_000
 
 
-def join_hot(rows: DataFrame, keyed: DataFrame, keys: list[str], weight: str, hot: int = HOT_ROWS) -> DataFrame:
-    """``rows`` inner-joined with ``keyed``, which has one row a key and in ``weight`` about how many of ``rows`` share the key.
+def _hot(keyed: DataFrame, weight: str) -> int:
+    """From what weight on a key is hot; 0 if none is. Rows / weight bounds the number of hot keys, so they can be broadcast."""
+    sums = keyed.agg(F.sum(weight).alias("rows"), F.max(weight).alias("top")).first()
+    least = max(HOT_ROWS, (sums["rows"] or 0) // BROADCAST_KEYS)
+    return least if (sums["top"] or 0) >= least else 0
+
 
-    The rows of a hot key don't meet in one task: hot keys are broadcast after a check of their number, which ``hot`` keeps at
-    a small share of the rows, and only rows of other keys are shuffled. Both inputs should be written tables. Keys aren't null.
+def join_hot(rows: DataFrame, keyed: DataFrame, keys: list[str], weight: str) -> DataFrame:
+    """``rows`` inner-joined with ``keyed``, narrow, which has one row a key and in ``weight`` about how many of ``rows`` share the key.
+
+    The rows of a hot key don't meet in one task: hot keys are broadcast, and only rows of other keys are shuffled. Both inputs
+    should be written tables, as they are read more than once. Keys aren't null.
     """
-    many = keyed.filter(F.col(weight) >= hot)
-    if not 0 < many.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
+    least = _hot(keyed, weight)
+    if not least:
         return rows.join(keyed, keys)
-    few = rows.join(F.broadcast(many.select(*keys)), keys, "left_anti").join(keyed.filter(F.col(weight) < hot), keys)
-    return few.unionByName(rows.join(F.broadcast(many), keys))
+    many = F.broadcast(keyed.filter(F.col(weight) >= least))
+    few = rows.join(many.select(*keys), keys, "left_anti").join(keyed.filter(F.col(weight) < least), keys)
+    return few.unionByName(rows.join(many, keys))
+
+
+def join_salted(rows: DataFrame, wide: DataFrame, key: str, counted: DataFrame, spread: str) -> DataFrame:
+    """``rows`` inner-joined with ``wide``, one row a key and too wide to broadcast. The rows of a hot key are dealt, by column
+    ``spread``, to as many copies of its row of ``wide`` as keep each below the bound. counted: the keys of ``rows``, written."""
+    counts = counted.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
+    least = _hot(counts, "__n")
+    if not least:
+        return rows.join(wide, key)
+    salts = F.broadcast(materialize(counts.filter(F.col("__n") >= least).select(key, F.ceil(F.col("__n") / least).cast("int").alias("__salts"))))
+    dealt = rows.join(salts, key, "left").withColumn("__salt", F.coalesce(F.pmod(F.hash(spread), F.col("__salts")), F.lit(0)))
+    copies = wide.join(salts, key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1)))
+    return dealt.drop("__salts").join(copies.drop("__salts"), [key, "__salt"]).drop("__salt")
 
 
 class WordHashes(dict):
@@ -149,16 +178,20 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(id, component) for every endpoint of ``edges`` (a, b); component is the smallest id reachable.
 
     Distributed min-label propagation with pointer jumping. Only a changed-rows counter reaches the driver; each round is
-    materialised in the shared folder. Star-shaped input settles in a few rounds.
+    materialised in the shared folder. Star-shaped input settles in a few rounds. Neither the neighbours of a hub nor the members
+    of a large component meet in one task.
     """
     both = materialize(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = materialize(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
+    labels = materialize(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("component"), F.count(F.lit(1)).alias("degree")))
     while True:
-        heard = both.join(labels, both.b == labels.id).groupBy(both.a.alias("id")).agg(F.min("component").alias("heard"))
-        low = labels.join(heard, "id").select("id", F.col("component").alias("old"), F.least("component", "heard").alias("low"))
-        top = labels.select(F.col("id").alias("low"), F.col("component").alias("higher"))
-        step = materialize(low.join(top, "low").select("id", "old", F.least("low", "higher").alias("component")))
+        # a vertex's label goes to its neighbours, as many as its degree
+        heard = join_hot(both, labels.withColumnRenamed("id", "b"), ["b"], "degree").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("heard"))
+        low = materialize(labels.join(heard, "id").select("id", "degree", F.col("component").alias("old"), F.least("component", "heard").alias("low")))
+        members = low.groupBy("low").agg(F.count(F.lit(1)).alias("members"))
+        top = materialize(members.join(labels.select(F.col("id").alias("low"), F.col("component").alias("higher")), "low"))
+        step = materialize(join_hot(low, top, ["low"], "members").select("id", "degree", "old", F.least("low", "higher").alias("component")))
         changed = step.filter("component <> old").limit(1).count()
-        labels = step.select("id", "component")
+        labels = step.select("id", "component", "degree")
         if not changed:
-            return labels
+            discard(both, low, top)
+            return labels.select("id", "component")

@@ -6,35 +6,40 @@ nothing. Two documents link when their sets' Jaccard similarity reaches percent
 
 Steps, all distributed:
 
-1. *Sets.* One pass hashes shingles to 64 bits. Equal sets (compared by size and 128 bits of hash) form a class of which only
-   the smallest doc_id goes on, so copies cost no pairs. The same pass counts in how many texts every shingle occurs, in packed
-   blocks dealt by hash range; the at most ``HOT_LIMIT`` most frequent shingles (the threshold grows until they fit) are the
-   only thing that is broadcast.
+1. *Sets.* One pass hashes shingles to 64 bits and writes every document's set; nothing is hashed again. Equal sets (compared by
+   size and 128 bits of hash) form a class of which only one goes on, so copies cost no pairs. The same pass counts in how
+   many texts every shingle occurs, in packed blocks dealt by hash range; the at most ``HOT_LIMIT`` most frequent shingles (the
+   threshold grows until they fit) are the only counts that are broadcast.
 2. *Prefixes.* Shingles are ordered rare first: those not listed as frequent by hash, then the listed ones by frequency. If
    sets x and y link, they share at least l of the first |x| - ceil(t|x|) + l and |y| - ceil(t|y|) + l shingles, for any l.
    Each document takes the l (up to ``MAX_MATCH``) whose estimated cost is least: postings read, plus the candidates expected
-   to share l of them. A pair is a candidate when it shares at least the smaller l of both. The prefix shingles that
-   others have in a prefix, with what follows the prefix, bound what a pair can share, and so do 1024 parity bits of the whole
-   set; pairs that these bounds rule out are never formed.
+   to share l of them. A pair is verified only if it shares at least the smaller l of both prefixes, whatever its size. Sound bounds
+   rule out more pairs before they are formed: the prefix shingles that others have in a prefix with what follows the
+   prefix bound what a pair can share, and so do the bits of 1024 in which the parities of the whole sets differ.
 3. *Stars first.* Each document is paired with up to three pseudo-random members of each of its shingles' buckets that aren't in
-   its component yet; these pairs, once verified, join the bulk of large groups of near copies in linear work. A few rounds.
-4. *The rest.* Then every pair that shares enough prefix shingles (of short sets: any, as the parities tell them apart) and
-   isn't in one component yet becomes a candidate and is verified. A pair meets once for each run of shared shingles. A pair that is left out is thus either known to be in one component or proven dissimilar: no link between
-   components is lost, and no bucket is expanded into all its pairs once its members are joined.
-5. Verification intersects the whole hashed sets. Components come from distributed label propagation.
-
-Repeated rows with one doc_id count as one document when their texts agree. Rows with a null doc_id are ignored.
-Columns other than doc_id and text are ignored. An empty table gives an empty result.
+   its component yet; these pairs, once verified, join the bulk of large groups of near copies in linear work. Three rounds.
+4. *The rest.* Then every pair that shares a prefix shingle, passes the bounds and isn't in one component yet becomes a candidate. A
+   pair meets once for each run of shared shingles. A pair that is left out is thus either known to be in one component or
+   proven dissimilar: no link between components is lost, and no bucket is expanded into all its pairs once its members are joined.
+5. *Verification* counts shared prefix shingles first, then intersects the whole hashed sets. Pairs of one much-paired
+   document are dealt to copies of its set. Components come from distributed label propagation.
+
+Repeated rows give repeated results; rows that share a doc_id but not the text are documents of their own, each with its
+component. A null doc_id takes part and is returned; a component's id is the smallest that isn't null. Columns other than doc_id
+and text are ignored, also where their names clash. An empty table gives an empty result. Ties can't arise: all is compared in
+whole numbers.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from brindle.llm.common import WordHashes, connected_components, materialize, mix64, text_slices
+from brindle.llm.common import WordHashes, connected_components, discard, join_hot, join_salted, materialize, mix64, text_slices
 from brindle.llm.common import sized as sized_ids
 
 HOT_LIMIT = 1 << 18
@@ -42,8 +47,6 @@ MAX_MATCH = 4
 #: Verifying a candidate costs as much as reading so many postings.
 VERIFY_COST = 20
 PARITY_BITS = 1024
-#: Below this size the parities alone tell unrelated sets apart.
-PARITY_TELLS = 1200
 #: Rounds of star pairs before the rest is looked at.
 STAR_ROUNDS = 3
 FLUSH_TOKENS = 1_000_000
@@ -96,34 +99,45 @@ def _signed(x) -> int:
 
 
 def _scan(docs: DataFrame, width: int, bits: int) -> DataFrame:
-    """Rows of kind 0: a document's set size and hash. Rows of kind 1: 32-bit shingle hashes of one block, with counts."""
+    """Rows without a block: a document's set with its size and hash. The others: 32-bit shingle hashes of one block, with counts."""
+    names = ["doc_id", "n", "s1", "s2", "shingles", "block", "tokens", "counts"]
+    types = [T.LongType(), T.LongType(), T.LongType(), T.ArrayType(T.LongType()), T.IntegerType(), T.BinaryType(), T.BinaryType()]
+    schema = T.StructType([docs.schema["doc_id"], *[T.StructField(n, t) for n, t in zip(names[1:], types)]])
 
     def run(batches):
-        hashes, held, size = WordHashes(), [], 0
+        arrow = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.binary(), pa.binary()]
+        hashes, held, size, kind = WordHashes(), [], 0, None
+
+        def record(ids, columns):
+            return pa.RecordBatch.from_arrays([ids, *[c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, arrow)]], names=names)
 
         def flush():
             values, counts = np.unique(np.concatenate(held), return_counts=True)
             cuts = np.searchsorted(values.astype(np.uint64), np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(32 - bits))
-            rows = [(1, b, None, None, None, None, _pack(v), np.minimum(c, 0xFFFF).astype(np.uint16).tobytes() if c.max() > 1 else None) for b, (v, c) in enumerate(zip(np.split(values, cuts), np.split(counts, cuts))) if len(v)]
-            return pd.DataFrame(rows, columns=["kind", "block", "doc_id", "n", "s1", "s2", "tokens", "counts"]).astype({"doc_id": "Int64", "n": "Int64", "s1": "Int64", "s2": "Int64"})
+            rows = [(b, _pack(v), np.minimum(c, 0xFFFF).astype(np.uint16).tobytes() if c.max() > 1 else None) for b, (v, c) in enumerate(zip(np.split(values, cuts), np.split(counts, cuts))) if len(v)]
+            none = [None] * len(rows)
+            return record(pa.nulls(len(rows), kind), [none, none, none, none, *zip(*rows)])
 
-        for pdf in batches:
-            texts, ids = pdf["text"].tolist(), pdf["doc_id"].tolist()
+        for batch in batches:
+            ids, texts = batch.column(0), batch.column(1).to_pylist()
+            kind = ids.type
             for a, b in text_slices(texts):
-                rows = []
-                for doc_id, s in zip(ids[a:b], shingle_sets(texts[a:b], hashes, width)):
-                    s2 = mix64(s + np.uint64(_MUL[0]))
-                    rows.append((0, None, doc_id, len(s), _signed(np.bitwise_xor.reduce(s) if len(s) else 0), _signed(s2.sum(dtype=np.uint64)), None, None))
-                    held.append((s >> np.uint64(32)).astype(np.uint32))
-                    size += len(s)
-                yield pd.DataFrame(rows, columns=["kind", "block", "doc_id", "n", "s1", "s2", "tokens", "counts"]).astype({"block": "Int64"})
+                sets = list(shingle_sets(texts[a:b], hashes, width))
+                s1 = [_signed(np.bitwise_xor.reduce(s)) if len(s) else 0 for s in sets]
+                s2 = [_signed(mix64(s + np.uint64(_MUL[0])).sum(dtype=np.uint64)) for s in sets]
+                ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+                flat = np.concatenate(sets)
+                none = [None] * len(sets)
+                yield record(ids.slice(a, b - a), [np.diff(ends).astype(np.int64), s1, s2, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64))), none, none, none])
+                held.append((flat >> np.uint64(32)).astype(np.uint32))
+                size += len(flat)
                 if size >= FLUSH_TOKENS:
                     yield flush()
                     held, size = [], 0
         if size:
             yield flush()
 
-    return docs.select("doc_id", "text").mapInPandas(run, "kind int, block int, doc_id long, n long, s1 long, s2 long, tokens binary, counts binary")
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def _frequent(blocks: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -154,82 +168,86 @@ def _frequent(blocks: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return hot["token"].to_numpy().astype(np.uint32), hot["df"].to_numpy()
 
 
-def _prefixes(docs: DataFrame, width: int, percent: int, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(hot)  # HOT_LIMIT bounds it: 3 MB
+def _prefixes(sets: DataFrame, percent: int, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """node, n, m, prefix, parity of the sets (node, shingles) that aren't empty."""
+    shared = sets.sparkSession.sparkContext.broadcast(hot)  # HOT_LIMIT bounds it: 3 MB
 
     def run(batches):
         token, counts = shared.value
-        hashes = WordHashes()
-        for pdf in batches:
-            texts, ids = pdf["text"].tolist(), pdf["doc_id"].tolist()
-            for a, b in text_slices(texts):
-                rows = []
-                for doc_id, s in zip(ids[a:b], shingle_sets(texts[a:b], hashes, width)):
-                    n = len(s)
-                    if not n:
-                        continue
-                    least = -(-percent * n // 100)
-                    if len(token):
-                        top = (s >> np.uint64(32)).astype(np.uint32)
-                        at = np.minimum(np.searchsorted(token, top), len(token) - 1)
-                        df = np.where(token[at] == top, counts[at], 1)
-                    else:
-                        df = np.ones(n, dtype=np.int64)
-                    # before the set is cut to its prefix: the bits are of the whole set
-                    parity = np.packbits((np.bincount((s & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS) & 1).astype(np.uint8)).view(np.int64)
-                    # a stable sort keeps the order by hash within a frequency
-                    longest = min(n, n - least + MAX_MATCH)
-                    if df.max() > 1:
-                        order = np.argsort(df, kind="stable")[:longest]
-                        s, df = s[order], df[order]
-                    cost = np.cumsum(df - 1)
-                    best = min(range(1, min(MAX_MATCH, least) + 1), key=lambda m: (cost[n - least + m - 1] * (1 + VERIFY_COST / m), m))
-                    rows.append((doc_id, n, best, s[: n - least + best].view(np.int64), parity))
-                if rows:
-                    yield pd.DataFrame(rows, columns=["doc_id", "n", "m", "prefix", "parity"])
-
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n int, m int, prefix array<long>, parity array<long>")
-
-
-def _verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those (a, b) of ``pairs`` whose whole sets reach the similarity."""
-
-    def sets(batches):
-        hashes = WordHashes()
-        for pdf in batches:
-            texts, ids = pdf["text"].tolist(), pdf["doc_id"].tolist()
-            for a, b in text_slices(texts):
-                yield pd.DataFrame({"doc_id": ids[a:b], "tokens": [s.view(np.int64) for s in shingle_sets(texts[a:b], hashes, width)]})
-
-    # A broadcast spares the texts a shuffle.
-    needed = sized_ids(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct())
-    found = materialize(docs.select("doc_id", "text").join(needed, "doc_id", "left_semi").mapInPandas(sets, "doc_id long, tokens array<long>").dropDuplicates(["doc_id"]))
-    a, b = found.select(F.col("doc_id").alias("a"), F.col("tokens").alias("ta")), found.select(F.col("doc_id").alias("b"), F.col("tokens").alias("tb"))
+        for batch in batches:
+            nodes, lists = batch.column(0), batch.column(1)
+            flat, ends = lists.values.to_numpy(zero_copy_only=False).view(np.uint64), lists.offsets.to_numpy()
+            if len(token):
+                top = (flat >> np.uint64(32)).astype(np.uint32)
+                at = np.minimum(np.searchsorted(token, top), len(token) - 1)
+                all_df = np.where(token[at] == top, counts[at], 1)
+            else:
+                all_df = np.ones(len(flat), dtype=np.int64)
+            sizes, matches, prefixes, parities = [], [], [], []
+            for a, b in zip(ends, ends[1:]):
+                s, df = flat[a:b], all_df[a:b]
+                n = len(s)
+                least = -(-percent * n // 100)
+                # the bits are of the whole set
+                bits = (np.bincount((s & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS) & 1).astype(np.uint8)
+                parities.append(np.packbits(bits).view(np.int64))
+                # a stable sort keeps the order by hash within a frequency
+                if df.max() > 1:
+                    order = np.argsort(df, kind="stable")[: min(n, n - least + MAX_MATCH)]
+                    s, df = s[order], df[order]
+                cost = np.cumsum(df - 1)
+                best = min(range(1, min(MAX_MATCH, least) + 1), key=lambda m: (cost[n - least + m - 1] * (1 + VERIFY_COST / m), m))
+                sizes.append(n)
+                matches.append(best)
+                prefixes.append(s[: n - least + best].view(np.int64))
+            long = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([nodes, pa.array(sizes, pa.int32()), pa.array(matches, pa.int32()), pa.array(prefixes, long), pa.array(parities, long)], names=["node", "n", "m", "prefix", "parity"])
+
+    return sets.filter("size(shingles) > 0").select("node", "shingles").mapInArrow(run, "node long, n int, m int, prefix array<long>, parity array<long>")
+
+
+def _verified(sets: DataFrame, prefixes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """Those (a, b) of ``pairs`` that share enough prefix shingles and whose whole sets reach the similarity."""
+    if not pairs.limit(1).count():
+        return pairs.select("a", "b")
+    # A broadcast spares the sets a shuffle.
+    needed = sized_ids(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct())
+    whole = sets.join(needed, "node", "left_semi").join(prefixes.select("node", "m", "prefix").join(needed, "node", "left_semi"), "node")
+    whole = materialize(whole.select("node", F.struct("m", "prefix", "shingles").alias("set")), compression="none", **{"parquet.enable.dictionary": "false"})
+    held = pairs.select("a", "b").join(whole.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
+    # "a" is the one that may be in very many pairs
+    both = join_salted(held, whole.select(F.col("node").alias("a"), F.col("set").alias("x")), "a", pairs, "b")
     # Pair by pair in the JVM: a batch of pairs of long sets would be large.
-    both = F.size(F.array_intersect("ta", "tb")).cast("long")
-    return pairs.select("a", "b").join(b, "b").join(a, "a").filter(100 * both >= percent * (F.size("ta") + F.size("tb") - both)).select("a", "b")
+    told = F.size(F.array_intersect("x.prefix", "y.prefix")) >= F.least("x.m", "y.m")
+    n = F.size(F.array_intersect("x.shingles", "y.shingles")).cast("long")
+    linked = both.filter(told).filter(100 * n >= percent * (F.size("x.shingles") + F.size("y.shingles") - n)).select("a", "b")
+    out = materialize(linked)
+    discard(whole)
+    return out
 
 
 def ngram_jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """One row a document: doc_id, n_shingles, class_id (smallest doc_id with the same set) and component_id (smallest doc_id
     reachable by links, itself included)."""
-    docs = docs.select("doc_id", "text").filter(F.col("doc_id").isNotNull())
+    docs = docs.select("doc_id", "text")
     bits = min(20, max(6, docs.select(F.lit(1)).count() // 4000).bit_length())
-    scan = materialize(_scan(docs, width, bits))
-    sized = scan.filter("kind = 0").select("doc_id", "n", "s1", "s2").distinct()
-    hot = _frequent(scan.filter("kind = 1").select("block", "tokens", "counts"))
-
-    classes = materialize(sized.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("class_id")))
-    reps = classes.select(F.col("class_id").alias("doc_id"))
-    prefixes = materialize(_prefixes(docs, width, percent, hot).join(reps, "doc_id", "left_semi"))
-    postings = prefixes.select("doc_id", F.explode("prefix").alias("token"))
+    plain = {"compression": "none", "parquet.enable.dictionary": "false"}  # hashes don't compress
+    scan = materialize(_scan(docs, width, bits).withColumn("node", F.monotonically_increasing_id()), **plain)
+    sized = scan.filter("block IS NULL").select("doc_id", "node", "n", "s1", "s2")
+    hot = _frequent(scan.filter("block IS NOT NULL").select("block", "tokens", "counts"))
+
+    classes = sized.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("class_id"), F.min("node").alias("node"), F.count(F.lit(1)).alias("rows"))
+    classes = materialize(classes)
+    sets = scan.filter("block IS NULL").select("node", "shingles")
+    prefixes = materialize(_prefixes(sets, percent, hot).join(classes.select("node"), "node", "left_semi"), **plain)
+    postings = prefixes.select("node", F.explode("prefix").alias("token"))
     shared = postings.groupBy("token").count().filter("count > 1").select("token")
     postings = materialize(postings.join(shared, "token", "left_semi"))
     # "found" bounds what two prefixes share, "after" counts what follows the prefix. A document without a shared prefix shingle
     # links with nothing.
-    found = postings.groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("found"))
+    found = postings.groupBy("node").agg(F.count(F.lit(1)).cast("int").alias("found"))
     after = F.expr(f"({percent} * n + 99) div 100") - F.col("m")
-    info = materialize(prefixes.drop("prefix").join(found, "doc_id").select("doc_id", "n", "m", "parity", "found", after.cast("int").alias("after")))
+    info = materialize(prefixes.drop("prefix").join(found, "node").select("node", "n", "m", "parity", "found", after.cast("int").alias("after")))
 
     def linkable(x: str, y: str):
         """Whether the pair can still reach the similarity, from both sizes, what they can share at most, and the bits in
@@ -238,57 +256,54 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
         size = F.col(f"{x}n") + F.col(f"{y}n")
         differ = sum(F.bit_count(F.col(f"{x}parity")[k].bitwiseXOR(F.col(f"{y}parity")[k])) for k in range(PARITY_BITS // 64))
         both = F.least(F.least(F.col(f"{x}found"), F.col(f"{y}found")) + F.greatest(F.col(f"{x}after"), F.col(f"{y}after")), F.col(f"{x}n"), F.col(f"{y}n"))
-        return (100 * both >= percent * (size - both)) & ((100 + percent) * (size - differ) >= 2 * percent * size)
-
-    def enough(shared, n1, m1, n2, m2):
-        """Whether so many shared prefix shingles leave room for a link: of what follows the prefix that ends first in the
-        common order, at most all is shared."""
-        after = F.greatest(*[F.floor((percent * n + 99) / 100) - m for n, m in ((n1, m1), (n2, m2))])
-        return (shared >= F.least(m1, m2)) & ((shared + after) * (100 + percent) >= percent * (n1 + n2))
+        return (100 * both >= percent * (size - both)) & ((100 + percent) * (size - differ) >= 2 * percent * size) & (F.least(F.col(f"{x}found"), F.col(f"{y}found")) >= F.least(F.col(f"{x}m"), F.col(f"{y}m")))
 
     def of(side: str, alias: str) -> DataFrame:
-        return info.select(F.col("doc_id").alias(side), F.struct("n", "m", "parity", "found", "after").alias(alias))
+        return info.select(F.col("node").alias(side), F.struct("n", "m", "parity", "found", "after").alias(alias))
 
     pairs = edges = known = None
-    held = postings.withColumn("c", F.col("doc_id"))
+    held = postings.withColumn("c", F.col("node"))
     for turn in range(STAR_ROUNDS):
         # At first the same few documents stand for most buckets of a group, so that its pairs are few; then others do.
-        by = ["token", "doc_id"] if turn else ["doc_id"]
-        stars = [F.min(F.struct(F.hash(*by, F.lit(3 * turn + k)).alias("h"), "doc_id", "c")).alias(f"s{k}") for k in range(3)]
-        anchors = held.groupBy("token").agg(*stars).select("token", F.explode(F.array_distinct(F.transform(F.array("s0", "s1", "s2"), lambda s: F.struct(s.doc_id.alias("doc_id"), s.c.alias("c"))))).alias("s"))
-        tied = held.join(anchors, "token").filter((F.col("doc_id") != F.col("s.doc_id")) & (F.col("c") != F.col("s.c")))
-        tied = tied.groupBy(F.least("doc_id", "s.doc_id").alias("a"), F.greatest("doc_id", "s.doc_id").alias("b")).agg(F.count_distinct("token").alias("c"))
-        tied = tied.join(of("b", "y"), "b").join(of("a", "x"), "a").filter(linkable("x.", "y."))
-        told = F.greatest("x.n", "y.n") < PARITY_TELLS
-        new = tied.filter(told | (F.col("c") >= F.least("x.m", "y.m"))).select("a", "b")
-        new = materialize(new if pairs is None else new.join(pairs, ["a", "b"], "left_anti"))
-        linked = materialize(_verified(docs, new, width, percent))
-        pairs = new if pairs is None else pairs.unionByName(new)
+        by = ["token", "node"] if turn else ["node"]
+        stars = [F.min(F.struct(F.hash(*by, F.lit(3 * turn + k)).alias("h"), "node", "c")).alias(f"s{k}") for k in range(3)]
+        anchors = held.groupBy("token").agg(*stars).select("token", F.explode(F.array_distinct(F.transform(F.array("s0", "s1", "s2"), lambda s: F.struct(s.node.alias("node"), s.c.alias("c"))))).alias("s"))
+        tied = held.join(anchors, "token").filter((F.col("node") != F.col("s.node")) & (F.col("c") != F.col("s.c")))
+        # "a" is the one that stands for a bucket, and so in many pairs
+        tied = tied.select(F.col("s.node").alias("a"), F.col("node").alias("b")).distinct()
+        tied = tied.join(of("b", "y"), "b").join(of("a", "x"), "a").filter(linkable("x.", "y.")).select("a", "b")
+        tied = tied.groupBy(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).agg(F.min("a").alias("a")).select("a", F.when(F.col("a") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("b"), "lo", "hi")
+        new = materialize(tied if pairs is None else tied.join(pairs, ["lo", "hi"], "left_anti"))
+        linked = _verified(sets, prefixes, new, percent)
+        pairs = new.select("lo", "hi") if pairs is None else pairs.unionByName(new.select("lo", "hi"))
         if linked.limit(1).count():
             edges = linked if edges is None else edges.unionByName(linked)
             known = connected_components(edges)
         elif turn:
             break
-        placed = postings if known is None else postings.join(known, postings.doc_id == known.id, "left")
-        placed = placed.select("token", "doc_id", F.coalesce("component", "doc_id").alias("c") if known is not None else F.col("doc_id").alias("c"))
+        placed = postings if known is None else postings.join(known, postings.node == known.id, "left")
+        placed = placed.select("token", "node", F.coalesce("component", "node").alias("c") if known is not None else F.col("node").alias("c"))
         mixed = placed.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("token")
         held = materialize(placed.join(mixed, "token", "left_semi"))
 
     # Two documents that share a run of prefix shingles, each following the other in both, need to meet at its first one only:
-    # where the shingles before are equal, they have met already. Only for long sets are the shared shingles counted.
-    before = Window.partitionBy("doc_id").orderBy("token")
-    open_ = materialize(held.withColumn("before", F.lag("token").over(before)).join(info, "doc_id"))
+    # where the shingles before are equal, they have met already.
+    before = Window.partitionBy("node").orderBy("token")
+    open_ = materialize(held.withColumn("before", F.lag("token").over(before)).join(info, "node"))
     x, y = open_.alias("x"), open_.alias("y")
-    told = F.greatest("x.n", "y.n") < PARITY_TELLS
-    fresh = ~told | F.coalesce(F.col("x.before") != F.col("y.before"), F.lit(True))
-    across = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.c") != F.col("y.c")) & fresh & linkable("x.", "y."))
-    rest = across.groupBy(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.first(told).alias("told"), *[F.first(F.col(f"{t}.{v}")).alias(f"{t}_{v}") for t in "xy" for v in "nm"])
-    rest = rest.filter(F.col("told") | enough(F.col("c"), F.col("x_n"), F.col("x_m"), F.col("y_n"), F.col("y_m"))).select("a", "b")
-    rest = materialize(rest.join(pairs, ["a", "b"], "left_anti"))
-    last = _verified(docs, rest, width, percent)
+    fresh = F.coalesce(F.col("x.before") != F.col("y.before"), F.lit(True))
+    across = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.c") != F.col("y.c")) & fresh & linkable("x.", "y."))
+    rest = across.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    rest = materialize(rest.join(pairs.select(F.col("lo").alias("a"), F.col("hi").alias("b")), ["a", "b"], "left_anti"))
+    last = _verified(sets, prefixes, rest, percent)
     edges = last if edges is None else edges.unionByName(last)
     components = connected_components(edges)
 
-    labelled = classes.join(components, classes.class_id == components.id, "left").select("n", "s1", "s2", "class_id", F.coalesce("component", "class_id").alias("component_id"))
-    out = sized.join(labelled, ["n", "s1", "s2"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    member = materialize(classes.join(components, classes.node == components.id, "left").select("n", "s1", "s2", "class_id", "rows", F.coalesce("component", "node").alias("component")))
+    least = member.groupBy("component").agg(F.min("class_id").alias("component_id"), F.count(F.lit(1)).alias("classes"))
+    labelled = materialize(join_hot(member, materialize(least), ["component"], "classes").drop("component", "classes"))
+    written = materialize(sized.drop("node"))
+    discard(scan, prefixes, postings, open_, held)
+    linked = join_hot(written.filter("n > 0"), labelled, ["n", "s1", "s2"], "rows").select("doc_id", "n", "class_id", "component_id")
+    alone = written.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"))
+    return linked.unionByName(alone).select("doc_id", F.col("n").alias("n_shingles"), "class_id", "component_id")
