@@ -79,18 +79,18 @@ def shingle_sets(texts, hashes: WordHashes, width: int):
         start = end
 
 
-def _pack(sorted32: np.ndarray) -> bytes:
-    """Sorted 32-bit values as 16-bit steps; 0xFFFF means: add 65535 and go on."""
-    gap = np.diff(sorted32.astype(np.int64), prepend=0)
+def _pack(sorted32: np.ndarray, base: int) -> bytes:
+    """Sorted 32-bit values from ``base`` on as 16-bit steps; 0xFFFF means: add 65535 and go on."""
+    gap = np.diff(sorted32.astype(np.int64), prepend=base)
     more, last = gap // 65535, gap % 65535
     out = np.full(int(more.sum()) + len(gap), 65535, dtype=np.uint16)
     out[np.cumsum(more + 1) - 1] = last
     return out.tobytes()
 
 
-def _unpack(data: bytes) -> np.ndarray:
+def _unpack(data: bytes, base: int) -> np.ndarray:
     steps = np.frombuffer(data, dtype=np.uint16)
-    return np.cumsum(steps.astype(np.int64))[steps != 65535].astype(np.uint32)
+    return (base + np.cumsum(steps.astype(np.int64))[steps != 65535]).astype(np.uint32)
 
 
 def _signed(x) -> int:
@@ -114,7 +114,7 @@ def _scan(docs: DataFrame, width: int, bits: int) -> DataFrame:
         def flush():
             values, counts = np.unique(np.concatenate(held), return_counts=True)
             cuts = np.searchsorted(values.astype(np.uint64), np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(32 - bits))
-            rows = [(b, _pack(v), np.minimum(c, 0xFFFF).astype(np.uint16).tobytes() if c.max() > 1 else None) for b, (v, c) in enumerate(zip(np.split(values, cuts), np.split(counts, cuts))) if len(v)]
+            rows = [(b, _pack(v, b << (32 - bits)), np.minimum(c, 0xFFFF).astype(np.uint16).tobytes() if c.max() > 1 else None) for b, (v, c) in enumerate(zip(np.split(values, cuts), np.split(counts, cuts))) if len(v)]
             none = [None] * len(rows)
             return record(pa.nulls(len(rows), kind), [none, none, none, none, *zip(*rows)])
 
@@ -140,13 +140,14 @@ def _scan(docs: DataFrame, width: int, bits: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def _frequent(blocks: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def _frequent(blocks: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent 32-bit shingle hashes, sorted, and their counts: at most HOT_LIMIT."""
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         values, counts = [], []
+        base = int(pdf["block"].iloc[0]) << (32 - bits)
         for t, c in zip(pdf["tokens"], pdf["counts"]):
-            values.append(_unpack(t))
+            values.append(_unpack(t, base))
             counts.append(np.frombuffer(c, dtype=np.uint16).astype(np.int64) if c is not None else np.ones(len(values[-1]), dtype=np.int64))
         token, at = np.unique(np.concatenate(values), return_inverse=True)
         total = np.bincount(at, weights=np.concatenate(counts)).astype(np.int64)
@@ -210,20 +211,22 @@ def _verified(sets: DataFrame, prefixes: DataFrame, pairs: DataFrame, percent: i
     """Those (a, b) of ``pairs`` that share enough prefix shingles and whose whole sets reach the similarity."""
     if not pairs.limit(1).count():
         return pairs.select("a", "b")
-    # A broadcast spares the sets a shuffle.
-    needed = sized_ids(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct())
-    whole = sets.join(needed, "node", "left_semi").join(prefixes.select("node", "m", "prefix").join(needed, "node", "left_semi"), "node")
-    whole = materialize(whole.select("node", F.struct("m", "prefix", "shingles").alias("set")), compression="none", **{"parquet.enable.dictionary": "false"})
-    held = pairs.select("a", "b").join(whole.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
-    # "a" is the one that may be in very many pairs
-    both = join_salted(held, whole.select(F.col("node").alias("a"), F.col("set").alias("x")), "a", pairs, "b")
+
+    def beside(found: DataFrame, table: DataFrame, columns: list[str]) -> DataFrame:
+        """``found`` with structs x and y, the columns of both sides."""
+        # A broadcast of the ids spares the other rows of the table a shuffle.
+        needed = sized_ids(found.select(F.col("a").alias("node")).unionByName(found.select(F.col("b").alias("node"))).distinct())
+        own = table.select("node", F.struct(*columns).alias("own")).join(needed, "node", "left_semi")
+        held = found.select("a", "b").join(own.select(F.col("node").alias("b"), F.col("own").alias("y")), "b")
+        # "a" is the one that may be in very many pairs
+        return join_salted(held, own.select(F.col("node").alias("a"), F.col("own").alias("x")), "a", found, "b")
+
     # Pair by pair in the JVM: a batch of pairs of long sets would be large.
     told = F.size(F.array_intersect("x.prefix", "y.prefix")) >= F.least("x.m", "y.m")
+    close = materialize(beside(pairs, prefixes, ["m", "prefix"]).filter(told).select("a", "b"))
     n = F.size(F.array_intersect("x.shingles", "y.shingles")).cast("long")
-    linked = both.filter(told).filter(100 * n >= percent * (F.size("x.shingles") + F.size("y.shingles") - n)).select("a", "b")
-    out = materialize(linked)
-    discard(whole)
-    return out
+    reach = 100 * n >= percent * (F.size("x.shingles") + F.size("y.shingles") - n)
+    return materialize(beside(close, sets, ["shingles"]).filter(reach).select("a", "b"))
 
 
 def ngram_jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -231,10 +234,10 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     reachable by links, itself included)."""
     docs = docs.select("doc_id", "text")
     bits = min(20, max(6, docs.select(F.lit(1)).count() // 4000).bit_length())
-    plain = {"compression": "none", "parquet.enable.dictionary": "false"}  # hashes don't compress
+    plain = {"compression": "zstd", "parquet.enable.dictionary": "false"}
     scan = materialize(_scan(docs, width, bits).withColumn("node", F.monotonically_increasing_id()), **plain)
     sized = scan.filter("block IS NULL").select("doc_id", "node", "n", "s1", "s2")
-    hot = _frequent(scan.filter("block IS NOT NULL").select("block", "tokens", "counts"))
+    hot = _frequent(scan.filter("block IS NOT NULL").select("block", "tokens", "counts"), bits)
 
     classes = sized.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("class_id"), F.min("node").alias("node"), F.count(F.lit(1)).alias("rows"))
     classes = materialize(classes)
