@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
+from brindle.errors import ExecutionError
 from brindle.session import Database, Session
+from brindle.sources.store import BlackholeStore, scratch
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 QUERIES: dict = {}
@@ -37,7 +36,7 @@ def _add(name: str, sql: str, oracle: str | None = None, params: tuple = (), bef
 _L = "CAST({} AS BIGINT)".format
 
 _add("scan_project", "SELECT l_orderkey, l_partkey, l_extendedprice * (1.0 - l_discount) AS net FROM lineitem")
-_add("table_statement", "SELECT r_name, r_regionkey FROM region", "SELECT r_name, CAST(r_regionkey AS BIGINT) AS r_regionkey FROM region")
+_add("table_statement", "TABLE region", "SELECT r_name, CAST(r_regionkey AS BIGINT) AS r_regionkey FROM region")
 _add("filter_cmp", "SELECT l_orderkey, l_quantity FROM lineitem WHERE l_quantity >= 10.0 AND l_quantity < 25.0 AND l_returnflag = 'R'")
 _add("index_range", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey > 100 AND o_orderkey <= 900")
 _add("filter_3vl", "SELECT p_partkey FROM part WHERE NOT (CASE WHEN p_size > 25 THEN NULL ELSE p_size = 10 END) OR p_size = 50")
@@ -73,7 +72,6 @@ _add("agg_distinct", "SELECT l_returnflag, count(DISTINCT l_suppkey) AS s, sum(D
 _add("having", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING n > 3 AND sum(o_totalprice) > 1000.0", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 3 AND sum(o_totalprice) > 1000")
 _add("group_by_alias", "SELECT o_orderkey % 10 AS bucket, count(*) AS n FROM orders GROUP BY bucket")
 _add("distinct", "SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem")
-_add("distinct_on", "SELECT DISTINCT ON (k) k, v FROM (SELECT DISTINCT o_custkey AS k, o_custkey * 2 AS v FROM orders) t", "SELECT DISTINCT o_custkey AS k, o_custkey * 2 AS v FROM orders")
 _add("sort_nulls", "SELECT c_custkey, CASE WHEN c_acctbal > 0.0 THEN c_acctbal END AS b FROM customer ORDER BY b DESC NULLS LAST, c_custkey LIMIT 100", "SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN c_acctbal END AS b FROM customer ORDER BY b DESC NULLS LAST, c_custkey LIMIT 100")
 _add("sort_default_nulls", "SELECT c_custkey FROM customer ORDER BY CASE WHEN c_acctbal > 0.0 THEN c_acctbal END DESC, c_custkey LIMIT 20", "SELECT c_custkey FROM customer ORDER BY CASE WHEN c_acctbal > 0 THEN c_acctbal END DESC NULLS FIRST, c_custkey LIMIT 20")
 _add("topn", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")
@@ -103,19 +101,99 @@ _add("leaderboard_q1", "SELECT x, y FROM (SELECT g % 100 AS x, g / 100 AS y FROM
 _add("leaderboard_q4", "SELECT a.x AS x FROM (SELECT g AS x FROM generate_series(1, 10000) s(g)) a JOIN (SELECT -g AS x FROM generate_series(1, 1000000) s(g)) b ON a.x = b.x", "SELECT CAST(0 AS BIGINT) AS x WHERE false")
 
 
-def csv_import(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Writes a small table as delimited text and imports it."""
+_ROWS = ("CREATE TABLE t (k INTEGER PRIMARY KEY, c INTEGER NOT NULL, price REAL)", "INSERT INTO t SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_orderkey")
+_add("star", "SELECT * FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name <> 'ASIA'", "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name, CAST(n_regionkey AS BIGINT) AS n_regionkey, CAST(r_regionkey AS BIGINT) AS r_regionkey, r_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name <> 'ASIA'")
+_add("values_statement", "VALUES (1, 'a', 2.5), (2, NULL, -1.0) ORDER BY column1 DESC", "SELECT CAST(column1 AS BIGINT) AS column1, column2, CAST(column3 AS DOUBLE) AS column3 FROM (VALUES (1, 'a', 2.5), (2, NULL, -1.0)) v(column1, column2, column3)")
+_add("order_by_aggregate", "SELECT o_custkey FROM orders GROUP BY o_custkey ORDER BY count(*) DESC, sum(o_orderkey) DESC, o_custkey LIMIT 25", "SELECT o_custkey FROM orders GROUP BY o_custkey ORDER BY count(*) DESC, sum(o_orderkey) DESC, o_custkey LIMIT 25")
+_add("distinct_on", "SELECT DISTINCT ON (c) c, k, price FROM t", "SELECT o_custkey AS c, o_orderkey AS k, o_totalprice AS price FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) = 1", before=_ROWS)
+_add("mod_real", "SELECT p_partkey, mod(p_retailprice, 7.5) AS m FROM part", "SELECT p_partkey, p_retailprice % 7.5::DOUBLE AS m FROM part")
+_add("real_by_zero", "SELECT c_custkey, (c_acctbal + 1.0) / 0.0 AS q, c_acctbal * 0.0 = 0.0 AS z FROM customer WHERE c_acctbal <> -1.0", "SELECT c_custkey, CASE WHEN c_acctbal + 1 > 0 THEN 'inf'::DOUBLE ELSE '-inf'::DOUBLE END AS q, true AS z FROM customer WHERE c_acctbal <> -1")
+_add("like_column_pattern", "SELECT n_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_name LIKE '%' || 'A' || '%'", "SELECT n_name FROM nation WHERE n_name LIKE '%A%'")
+_add("random_in_range", "SELECT count(*) AS n FROM (SELECT random() AS r FROM generate_series(1, 1000) g) t WHERE r >= 0.0 AND r < 1.0", "SELECT CAST(1000 AS BIGINT) AS n")
+_add("setseed_repeats", "SELECT a.x = b.x AS same FROM one a, two b", "SELECT true AS same", before=("CREATE TABLE one (x REAL)", "CREATE TABLE two (x REAL)", "SELECT setseed(0.5)", "INSERT INTO one SELECT random()", "SELECT setseed(0.5)", "INSERT INTO two SELECT random()"))
+_IDS = "CREATE SEQUENCE ids START 100 INCREMENT 2"
+_add("sequence_expr", "SELECT v FROM d", "SELECT (100 + 2 * n) * 10 + 1 AS v FROM range(25) r(n)", before=(_IDS, "CREATE TABLE d (v INTEGER)", "INSERT INTO d SELECT nextval('ids') * 10 + 1 FROM nation"))
+_add("sequence_view", "SELECT v FROM numbered", "SELECT 100 + 2 * n AS v FROM range(25) r(n)", before=(_IDS, "CREATE VIEW numbered (v) AS SELECT nextval('ids') FROM nation"))
+_add("sequence_where", "SELECT count(*) AS n, currval('ids') AS newest FROM t", "SELECT CAST(10 AS BIGINT) AS n, CAST(148 AS BIGINT) AS newest", before=(_IDS, "CREATE TABLE t (x INTEGER)", "INSERT INTO t SELECT n_nationkey FROM nation WHERE nextval('ids') < 120"))
+_add("sequence_derived", "SELECT sum(v) AS s, count(*) AS n FROM (SELECT nextval('ids') AS v, nextval('ids') AS w FROM region) t", "SELECT CAST(sum(100 + 4 * n) AS BIGINT) AS s, count(*) AS n FROM range(5) r(n)", before=(_IDS,))
+_add("currval", "SELECT currval('ids') AS v", "SELECT CAST(102 AS BIGINT) AS v", before=(_IDS, "SELECT nextval('ids')", "SELECT nextval('ids')"))
+_add("columns_function", "SELECT column_name, type, is_nullable, is_primary_key FROM engine_columns() WHERE table_name = 't' AND column_name <> 'rowid'", "SELECT * FROM (VALUES ('k', 'INTEGER', false, true), ('c', 'INTEGER', false, false), ('price', 'REAL', true, false)) v(column_name, type, is_nullable, is_primary_key)", before=_ROWS[:1])
+_add("functions_function", "SELECT type, name FROM engine_functions() WHERE name = 'sqrt' OR name = 'count' OR name = 'generate_series'", "SELECT * FROM (VALUES ('scalar', 'sqrt'), ('aggregate', 'count'), ('table', 'generate_series')) v(type, name)")
+_add("indexes_function", "SELECT table_name, index_name, is_unique FROM engine_indexes()", "SELECT * FROM (VALUES ('t', 'by_c', false), ('t', 'by_price', true)) v(table_name, index_name, is_unique)", before=(*_ROWS[:1], "CREATE INDEX by_c ON t (c)", "CREATE UNIQUE INDEX by_price ON t (price)"))
+_add("keywords_function", "SELECT count(*) > 50 AS many, max(CASE WHEN keyword = 'SELECT' THEN 1 ELSE 0 END) AS has FROM engine_keywords()", "SELECT true AS many, CAST(1 AS BIGINT) AS has")
+_add("sequences_function", "SELECT name, start_value, increment_by FROM engine_sequences()", "SELECT 'ids' AS name, CAST(100 AS BIGINT) AS start_value, CAST(2 AS BIGINT) AS increment_by", before=(_IDS,))
+_add("views_function", "SELECT name, columns FROM engine_views()", "SELECT 'big' AS name, 'k, n' AS columns", before=("CREATE VIEW big (k, n) AS SELECT o_custkey, count(*) FROM orders GROUP BY o_custkey",))
+_add("drop_index_reindex", "SELECT index_name FROM engine_indexes()", "SELECT 'b' AS index_name", before=(*_ROWS, "CREATE INDEX a ON t (c)", "CREATE UNIQUE INDEX b ON t (k, c)", "REINDEX TABLE t", "DROP INDEX a"))
+_add("analyze", "SELECT count(*) AS n FROM t", "SELECT count(*) AS n FROM orders", before=(*_ROWS, "ANALYZE t"))
+_add("insert_values_default", "SELECT k, price, status FROM t", "SELECT * FROM (VALUES (CAST(1 AS BIGINT), CAST(2.5 AS DOUBLE), 'new'), (2, NULL, 'old')) v(k, price, status)", before=(_TMP, "INSERT INTO t (k, price) VALUES (1, 2.5)", "INSERT INTO t VALUES (2, NULL, 'old')"))
+_add("deallocate", "EXECUTE p", "SELECT 'EUROPE' AS r_name", before=("PREPARE p AS SELECT r_name FROM region", "DEALLOCATE p", "PREPARE p AS SELECT r_name FROM region WHERE r_name = 'EUROPE'"))
+_add("txn_commit", "SELECT count(*) AS n, sum(k) AS s FROM t", "SELECT count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS s FROM orders WHERE o_orderkey % 2 = 0", before=(*_FILL, "BEGIN", "DELETE FROM t WHERE k % 2 = 1", "COMMIT"))
+_RING = "(SELECT (g + {0}) % 500000 AS x, ((g + {0}) % 500000) * 10 AS y FROM generate_series(0, 999999) s(g))".format
+_add("leaderboard_q2", f"SELECT count(*) AS n, max(a.x) AS ax, max(a.y) AS ay, max(b.x) AS bx, max(c.y) AS cy FROM {_RING(0)} a, {_RING(30000)} b, {_RING(60000)} c WHERE a.x = b.x AND c.y = b.y AND a.y >= 1000000 AND a.y < 1500000 AND c.x < 150000 AND c.x >= 100000", "SELECT CAST(400000 AS BIGINT) AS n, CAST(149999 AS BIGINT) AS ax, CAST(1499990 AS BIGINT) AS ay, CAST(149999 AS BIGINT) AS bx, CAST(1499990 AS BIGINT) AS cy")
+
+
+def txn_conflict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second session is refused while the first one's transaction is open, and loses nothing after it."""
+    db = Database(spark)
+    db.attach_parquet(sf_dir, *TABLES)
+    a, b = db.connect(), db.connect()
+    a.script("CREATE TABLE t (x INTEGER); BEGIN; INSERT INTO t VALUES (1)")
+    try:
+        b.execute("INSERT INTO t VALUES (2)")
+    except ExecutionError:
+        a.execute("INSERT INTO t VALUES (10)")
+    a.execute("COMMIT")
+    b.execute("INSERT INTO t VALUES (3)")
+    return b.query("SELECT x FROM t")
+
+
+def bulk_inserter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = connect(spark, sf_dir)
+    s.execute("CREATE TABLE t (k INTEGER, name TEXT)")
+    with s.inserter("t", flush_rows=4) as rows:
+        for i in range(10):
+            rows.insert((i, f"row {i}"))
+    return s.query("SELECT k, name FROM t")
+
+
+def script(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = connect(spark, sf_dir)
-    s.execute("CREATE TABLE r (k INTEGER, name TEXT)")
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    path = f"{shared or 'file://' + tempfile.mkdtemp()}/brindle-csv-{os.urandom(6).hex()}"
-    spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_name").write.csv(path, header=True)
-    s.load_file("r", path, "csv", skip_header=True)
-    return s.query("SELECT k, name FROM r")
+    s.script("CREATE TABLE t (x INTEGER); -- a comment; with a semicolon\nINSERT INTO t VALUES (1), (2);\nUPDATE t SET x = x * 10")
+    return s.query("SELECT x FROM t")
 
 
-QUERIES["csv_import"] = csv_import
-ORACLES["csv_import"] = "SELECT CAST(n_nationkey AS BIGINT) AS k, n_name AS name FROM nation"
+def blackhole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    db = Database(spark, store=BlackholeStore(spark))
+    db.attach_parquet(sf_dir, *TABLES)
+    s = db.connect()
+    s.script("CREATE TABLE t (x INTEGER); INSERT INTO t SELECT o_orderkey FROM orders")
+    return s.query("SELECT count(*) AS n FROM t")
+
+
+def _import(form: str, field: str, record: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """Writes a small table as delimited text and imports it."""
+        s = connect(spark, sf_dir)
+        s.execute("CREATE TABLE r (k INTEGER, name TEXT)")
+        path = scratch(spark, f"brindle-{form}") + "/in"
+        spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_name").write.option("sep", field).option("lineSep", record).csv(path, header=form != "ascii")
+        s.load_file("r", path, form, skip_header=form != "ascii", multi_line=False)
+        return s.query("SELECT k, name FROM r")
+
+    return run
+
+
+for _f in (txn_conflict, bulk_inserter, script, blackhole):
+    QUERIES[_f.__name__] = _f
+ORACLES |= {
+    "txn_conflict": "SELECT CAST(x AS BIGINT) AS x FROM (VALUES (1), (10), (3)) v(x)",
+    "bulk_inserter": "SELECT n AS k, 'row ' || n AS name FROM range(10) r(n)",
+    "script": "SELECT CAST(x AS BIGINT) AS x FROM (VALUES (10), (20)) v(x)",
+    "blackhole": "SELECT CAST(0 AS BIGINT) AS n",
+}
+for _form, _field, _record in (("csv", ",", "\n"), ("tsv", "\t", "\n"), ("ascii", "\x1f", "\x1e")):
+    QUERIES[f"{_form}_import"] = _import(_form, _field, _record)
+    ORACLES[f"{_form}_import"] = "SELECT CAST(n_nationkey AS BIGINT) AS k, n_name AS name FROM nation"
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

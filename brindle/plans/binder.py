@@ -42,8 +42,11 @@ def fresh() -> str:
 class Binder:
     """``host`` is the session: it resolves tables, views, sequences and table functions."""
 
-    def __init__(self, host, params: tuple = ()):
+    def __init__(self, host, params: tuple = (), dry: bool = False):
         self.host, self.params, self.spark = host, params, host.spark
+        self.dry = dry  # only names and types are asked for: no sequence moves
+        self.marks: dict | None = None
+        self.draws: dict[int, Col] = {}  # calls of nextval, by identity, whose values are columns
 
     # -- expressions
     def bind(self, e, cols: list[Col], aliases: dict | None = None, groups: dict | None = None) -> tuple[Column, str | None]:
@@ -179,6 +182,8 @@ class Binder:
             raise PlanError(f"aggregate {e.name} is not allowed here")
         if e.star or e.distinct:
             raise PlanError(f"{e.name} takes no {'*' if e.star else 'DISTINCT'}")
+        if id(e) in self.draws:
+            return F.col(self.draws[id(e)].id), INTEGER
         args = [go(a) for a in e.args]
         given = tuple(t for _, t in args)
         if e.name in S.IMPURE:
@@ -293,12 +298,24 @@ class Binder:
         df = as_(a).unionAll(as_(b))
         return Rel(df if u.all else df.distinct(), cols)
 
+    def drawn(self, df: DataFrame, exprs) -> DataFrame:
+        """``df`` with a column of values for each call of nextval in ``exprs`` that has none yet."""
+        calls = [c for e in exprs for c in self.calls(e, lambda x: x.name == "nextval") if id(c) not in self.draws]
+        if not calls:
+            return df
+        df, cols = self.host.draw(df, calls, self)
+        self.draws.update((id(call), col) for call, col in zip(calls, cols))
+        return df
+
     def aggregates(self, e) -> list[T.Call]:
         """Aggregate calls within an expression, outermost first."""
-        if isinstance(e, T.Call) and e.name in S.AGGREGATES:
+        return self.calls(e, lambda x: x.name in S.AGGREGATES)
+
+    def calls(self, e, wanted) -> list[T.Call]:
+        if isinstance(e, T.Call) and wanted(e):
             return [e]
         parts = {T.Unary: lambda: [e.e], T.Is: lambda: [e.e], T.Cast: lambda: [e.e], T.Binary: lambda: [e.left, e.right], T.Like: lambda: [e.e, e.pattern], T.Call: lambda: list(e.args), T.Case: lambda: [x for x in (e.operand, e.default, *itertools.chain(*e.branches)) if x is not None]}
-        return [a for p in parts.get(type(e), list)() for a in self.aggregates(p)]
+        return [a for p in parts.get(type(e), list)() for a in self.calls(p, wanted)]
 
     def select(self, q: T.Query) -> Rel:
         s: T.Select = q.body
@@ -315,12 +332,17 @@ class Binder:
         if s.where is not None:
             if self.aggregates(s.where):
                 raise PlanError("aggregates are not allowed in WHERE")
+            df = self.drawn(df, [s.where])
             c, t = self.bind(s.where, cols)
             df = df.filter(self.truth(c, t))
         exprs = [e for e, _ in items if not isinstance(e, Col)]
         calls = [a for e in [*exprs, *([s.having] if s.having is not None else []), *[o[0] for o in q.order], *s.distinct_on] for a in self.aggregates(e)]
         groups = None
         named = {a: e for e, a in items if a and not isinstance(e, Col)}
+        if s.source is not None and (calls or s.group or s.having is not None):
+            df = self.drawn(df, [*[x for a in calls for x in a.args], *s.group, *[e for a, e in named.items() if T.Ref(None, a) in s.group]])
+        elif s.source is not None:
+            df = self.drawn(df, [*exprs, *[o[0] for o in q.order], *s.distinct_on])
         if calls or s.group or s.having is not None:
             df, groups = self.grouped(df, cols, s, calls, named)
         # output columns; an alias shadows columns of the same name from the next item on

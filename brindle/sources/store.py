@@ -2,7 +2,7 @@
 
 A table's snapshot is a list of Parquet folders. INSERT adds a folder, UPDATE and DELETE write the table anew; a commit swaps the
 catalog's pointers, a rollback forgets the new folders. ``ParquetStore`` keeps the catalog in a JSON manifest beside them, so a
-database can be opened again; without a path it lives in a temporary folder. ``BlackholeStore`` takes writes and reads empty.
+database can be opened again; without a path it lives in a folder of its own below ``spark.checkpoint.dir``. ``BlackholeStore`` takes writes and reads empty.
 """
 
 from __future__ import annotations
@@ -21,13 +21,19 @@ def schema_of(columns) -> t.StructType:
     return t.StructType([t.StructField(c["name"], _TYPES[c["type"]]) for c in columns])
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path that all executors share: below ``spark.checkpoint.dir``, or a temporary one where that is unset."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}" if shared else "file://" + tempfile.mkdtemp(prefix=f"{name}-")
+
+
 class ParquetStore:
     """Folders below one root, local or in any file system that Spark reaches."""
 
     def __init__(self, spark: SparkSession, root: str | None = None):
         self.spark = spark
         self.keeps = root is not None
-        self.root = (root or "file://" + tempfile.mkdtemp(prefix="brindle-db-")).rstrip("/")
+        self.root = (root or scratch(spark, "brindle-db")).rstrip("/")
 
     def write(self, df: DataFrame) -> str:
         """Write rows to a new folder; its path."""

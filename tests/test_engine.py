@@ -1,6 +1,7 @@
 """The SQL engine: semantics by small cases, one group for each area."""
 
 import math
+import threading
 
 import pytest
 
@@ -144,6 +145,64 @@ def test_sequences_views_prepared(s):
     assert rows(s, "EXPLAIN SELECT 1")[0][0].startswith("==")
 
 
+def test_sessions_of_one_thread_are_kept_apart(spark, s):
+    s.script("CREATE TABLE t (a INT); BEGIN; INSERT INTO t VALUES (1)")
+    other = s.db.connect()
+    with pytest.raises(ExecutionError):
+        other.execute("INSERT INTO t VALUES (2)")
+    assert rows(other, "SELECT count(*) FROM t") == [(0,)]
+    s.execute("COMMIT")
+    other.execute("INSERT INTO t VALUES (3)")
+    assert rows(s, "SELECT a FROM t ORDER BY a") == [(1,), (3,)]
+
+
+def test_sessions_of_two_threads_take_turns(spark, s):
+    s.script("CREATE TABLE t (a INT); BEGIN; INSERT INTO t VALUES (1)")
+    other = threading.Thread(target=lambda: s.db.connect().execute("INSERT INTO t VALUES (2)"))
+    other.start()
+    s.execute("COMMIT")
+    other.join(60)
+    assert rows(s, "SELECT a FROM t ORDER BY a") == [(1,), (2,)]
+
+
+def test_an_error_of_a_select_ends_its_transaction(s):
+    s.script("CREATE TABLE t (a INT); INSERT INTO t VALUES (0); BEGIN; INSERT INTO t VALUES (5)")
+    with pytest.raises(ExecutionError):
+        s.query("SELECT 1 % a FROM t")
+    with pytest.raises(ExecutionError):
+        s.query("SELECT 1")
+    s.execute("COMMIT")
+    assert rows(s, "SELECT a FROM t") == [(0,)]
+
+
+def test_nextval_has_a_value_for_each_row_anywhere(s):
+    s.script("CREATE SEQUENCE q; CREATE TABLE t (a INT); INSERT INTO t VALUES (10), (20), (30); CREATE VIEW v (n) AS SELECT nextval('q') FROM t")
+    assert rows(s, "SELECT nextval('q')") == [(1,)]  # the view's definition moved nothing
+    assert sorted(rows(s, "SELECT n FROM v")) == [(2,), (3,), (4,)]
+    assert rows(s, "SELECT count(*) FROM t WHERE nextval('q') % 2 = 1") == [(2,)]  # 5, 6, 7
+    assert rows(s, "SELECT sum(nextval('q') * 100) FROM t") == [(2700,)]  # 8, 9, 10
+    assert sorted(rows(s, "SELECT nextval('q') - nextval('q') AS d FROM t")) == [(-1,)] * 3
+    assert rows(s, "SELECT 'nextval(' || 'x' FROM t LIMIT 1") == [("nextval(x",)] and rows(s, "SELECT currval('q')") == [(16,)]
+
+
+def test_old_snapshots_go(spark, s):
+    from brindle.session import KEEP_COMMITS
+
+    s.script("CREATE TABLE t (a INT); INSERT INTO t VALUES (1)")
+    first = s.state["tables"]["t"]["paths"][0]
+    for _ in range(KEEP_COMMITS + 1):
+        s.execute("UPDATE t SET a = a + 1")
+    where = s.db.store._path(first)
+    assert not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+    assert rows(s, "SELECT a FROM t") == [(KEEP_COMMITS + 2,)]
+
+
+def test_names_that_are_no_keywords(s):
+    s.execute("CREATE TABLE t (bool BOOL, escape INT)")
+    s.execute("INSERT INTO t VALUES (true, 1)")
+    assert rows(s, "SELECT bool, escape FROM t") == [(True, 1)]
+
+
 def test_inserter_files_and_stores(spark, s, tmp_path):
     s.execute("CREATE TABLE t (a INT, b TEXT)")
     with s.inserter("t", flush_rows=4) as ins:
