@@ -5,7 +5,7 @@ Luhn sum, phone with 9 to 15 digits), leftmost and without overlap within a kind
 
 *Method.* Base entities are seeds, and so are random strings that stand quoted after an equals sign or colon or carry a known
 key prefix, as a fifth kind, secret. An entity's instance is its text. Its lexical patterns are the two words before it, the one
-before, the one after, and the ones on both sides (words lower-cased; a wildcard stands for all else). Candidates of no known kind
+before, the one after, and the ones on both sides (words lower-cased, quotes around the entity left out; a wildcard stands for all else). Candidates of no known kind
 are words with four digits, an at sign (also written (at) or [at]) or sixteen mixed letters and digits, and groups of digits
 parted by single spaces. Rounds over the bipartite graph of patterns and instances:
 
@@ -89,9 +89,9 @@ def mentions(docs: DataFrame) -> DataFrame:
     rows = rows.select(*_DOC, "f.kind", F.posexplode_outer("f.parts").alias("i", "part"))
     # Of what lies between matches only its length and the words at its ends go on. A reversed text yields its last words in one step.
     odd = F.col("i") % 2 == 1
-    ends = F.regexp_extract(F.reverse("part"), r"^\s*+(\S++(?:\s++\S++)?)", 1)
+    ends = F.regexp_extract(F.reverse("part"), r"^[\"'(\[{<]*+\s*+(\S++(?:\s++\S++)?)", 1)
     last = F.lower(F.reverse(F.regexp_replace(ends, r"\s++", " ")))
-    between = F.when(~odd, F.struct(F.xxhash64(last).alias("two"), F.xxhash64(F.substring_index(last, " ", -1)).alias("one"), F.xxhash64(F.lower(F.regexp_extract("part", r"^\s*+(\S++)", 1))).alias("next"), (F.length(F.trim(last)) == 0).alias("none")))
+    between = F.when(~odd, F.struct(F.xxhash64(last).alias("two"), F.xxhash64(F.substring_index(last, " ", -1)).alias("one"), F.xxhash64(F.lower(F.regexp_extract("part", r"^[\"')\]}>,;]*+\s*+(\S++)", 1))).alias("next"), (F.length(F.trim(last)) == 0).alias("none")))
     rows = rows.select(*_DOC, "kind", "i", F.length("part").alias("n"), F.when(odd, F.col("part")).alias("text"), between.alias("gap"))
     rows = rows.dropDuplicates([*_DOC, "kind", "i"])  # of repeated rows
     order = Window.partitionBy(*_DOC, "kind").orderBy("i")

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 from itertools import combinations
 
@@ -71,6 +72,16 @@ def test_pii_learns_from_contexts(spark):
     assert got[51].spans == ""
 
 
+def test_pii_learns_more_kinds_and_contexts(spark):
+    rng = random.Random(12)
+    key = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n - 6)) + "a1b2c3"
+    rows = [(i, f'set api_key = "{key(32)}" here') for i in range(12)] + [(30, f"set api_key = {key(20)} here"), (31, f"commit {key(20)} now")]
+    rows += [(100 + i, f"write to user{i}@mail.example for help") for i in range(12)] + [(130, "write to jane(at)mail.example for help"), (131, "look at(at)random")]
+    got = {r.doc_id: r for r in pii.find_pii(docs(spark, rows)).collect()}
+    assert all(got[i].n_secret == 1 and got[i].n_spans == 1 for i in [*range(12), 30]) and got[31].n_spans == 0
+    assert got[30].spans == "secret:14:34" and got[130].spans == "email:9:29" and got[130].n_email == 0 and got[131].spans == ""
+
+
 def test_pii_odd_rows(spark):
     assert len(pii.find_pii(docs(spark, ODD)).collect()) == len(ODD)
     assert pii.find_pii(docs(spark, [])).collect() == []
@@ -145,6 +156,14 @@ def test_jaccard_join_odd_rows(spark):
     assert ngram_jaccard_join(docs(spark, [])).collect() == []
 
 
+def test_jaccard_join_counts_rows_of_one_id_apart(spark):
+    text = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, text), (1, "quite another text " * 9), (7, text), (None, text), (2**60 + 1, text + " more")]
+    got = sorted(((r.doc_id is None, r.doc_id, r.component_id, r.n_shingles) for r in ngram_jaccard_join(docs(spark, rows), 5, 80).collect()), key=str)
+    assert {(i, c) for _, i, c, n in got if n > 20} == {(1, 1), (7, 1), (None, 1), (2**60 + 1, 1)} and len(got) == 5
+    assert [c for _, i, c, n in got if n < 20] == [1]
+
+
 # -- HTML
 PAGE = "<html><head><title>t</title></head><body><div>{nav}</div><nav><a>Home</a></nav><article><h1>Head &amp; tail</h1><p>One <b>two<br>three<p>four</article><div class='comments'><p>nice!</p></div><footer>f</footer></body></html>"
 
@@ -161,7 +180,63 @@ def test_html_templates_go(spark):
     assert html_text.extract_main_text(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
 
+def test_html_templates_decide_where_nothing_is_marked(spark):
+    """Without article, nav or class, what recurs on the host goes and what doesn't stays."""
+    rng = random.Random(2)
+    text = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    menus, ends = [f"<div><ul><li>m{k}<li>n{k}</ul></div>" for k in range(3)], [f"<div>all rights kept {k}</div>" for k in range(3)]
+    want, rows = {}, []
+    for i in range(60):
+        parts = [text(30), text(12)]
+        want[i] = "\n\n".join(parts)
+        rows.append((i, f"http://site.example/{i}", f"<html><body>{menus[i % 3]}<div><p>{parts[0]}<p>{parts[1]}</div>{ends[i % 3]}</body></html>"))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r for r in html_text.extract_main_text(pages).collect()}
+    assert {i: r.text for i, r in got.items()} == want and all(r.n_template == 3 for r in got.values())
+    alone = {r.page_id: r for r in html_text.extract_main_text(pages.limit(1)).collect()}
+    assert all(r.text != want[i] and r.n_template == 0 for i, r in alone.items())
+
+
+def test_html_reads_odd_trees():
+    read = lambda h: html_text.read_page(h)[0]
+    deep = "<article>" + "<span>" * 3000 + "in it</article>after"
+    blocks, kinds, _ = html_text.read_page(deep)
+    assert list(zip(blocks, kinds)) == [("in it", html_text.ARTICLE), ("after", html_text.PLAIN)]
+    assert read("<div>" * 5000 + "x" + "</div>" * 5000 + "y") == ["x", "y"]
+    assert read("<p>a <b>b<p>c</b> d") == ["a b", "c d"] and read("<ul><li>1<li>2</ul>3") == ["1", "2", "3"]
+    assert read("<table><tr><td>1<td>2<tr><td>3</table>") == ["1 2", "3"]
+    kept = html_text.read_page("<article><p id='related'>a<div class='share'>b</div><div class='ad'>c</div><h2 id='comments'>d</h2></article>")
+    assert [t for t, k in zip(*kept[:2]) if k == html_text.ARTICLE] == ["a", "b", "d"]
+
+
+def test_html_odd_rows(spark):
+    page = "<article><p>" + "word " * 200_000 + "</article>"
+    rows = [(2**60 + 1, "http://a.example/", page, "x"), (None, None, None, None), (2**60 + 3, "?", "", "y"), (2**60 + 3, "?", "", "y")]
+    got = html_text.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
+    assert sorted((str(r.page_id), r.n_chars) for r in got) == sorted([(str(2**60 + 1), 999_999), ("None", 0), (str(2**60 + 3), 0), (str(2**60 + 3), 0)])
+
+
 # -- licences
+def test_license_windows(spark):
+    known = dict(licenses.templates())
+    scanner = licenses.Scanner()
+    best = lambda t: {k for k, v in scanner.scan(t).items() if v[4]}
+    assert best("The photographs on this page were taken last summer and this work is licensed under CC BY 4.0.") == {"CC-BY-4.0"}
+    wrap = lambda t: "\n".join(textwrap.wrap(t, 72))
+    assert best(wrap(known["MIT"]) + "\n" + wrap(known["BSD-3-Clause"])) == {"MIT", "BSD-3-Clause"}
+    assert best("Licensed under the MIT License " + "x " * 100) == {"MIT"}
+    rng = random.Random(6)
+    for k, t in known.items():  # a text with some words changed, in prose
+        w = licenses.words_of(t)
+        if len(w) > 40:
+            w = [x if rng.random() > 0.03 else "changed" for x in w]
+            assert k in scanner.scan("before it all " * 30 + " ".join(w) + " and after it " * 30), k
+    rows = [(2**60 + 1, "Released under the ISC License."), (None, "Released under the ISC License."), (2**60 + 3, "x")] * 2
+    got = licenses.license_scan(docs(spark, rows)).collect()
+    assert sorted(str(r.doc_id) for r in got) == sorted(["None", str(2**60 + 1)] * 2)
+    assert licenses.license_scan(docs(spark, [])).collect() == []
+
+
 def test_license_scan(spark):
     mit = dict(licenses.templates())["MIT"]
     rows = [(1, "some words\nLicensed under CC BY-NC 4.0.\nmore"), (2, "text\n" + mit.replace(". ", ".\n") + "\nmore"), (3, "Licensed under the sun."), (4, None), (5, ""), (6, "x " * 50000)]
@@ -232,6 +307,32 @@ def test_decontamination_finds_items_of_slots_and_capitals(spark):
     assert got == {(1, 1): 0, (2, 2): 0, (3, 3): 0, (4, 4): 0, (5, 5): 1, (8, 5): 1}
 
 
+def test_decontamination_of_short_items_and_long_texts(spark):
+    bench = spark.createDataFrame([(1, "Name three rivers"), (2, "A farmer has 12 cows and sells 5 of them at the fair")], "item_id long, text string")
+    far = "many other words stand here and there " * 20_000
+    rows = [(1, "x\nname three rivers.\ny"), (2, "please name three rivers now"), (3, far + "A farmer has 31 cows and sells 8 of them at the fair " + far), (4, far), (5, "A farmer has 31 cows and sells 31 of them at the fair")]
+    got = {(r.doc_id, r.item_id): r.n_changed for r in dc.decontaminate(docs(spark, rows + rows), bench).collect()}
+    assert got == {(1, 1): 0, (3, 2): 2}
+
+
+def test_decontamination_of_parameters_matches_brute_force(spark):
+    """Items with other numbers are found, and only where each value stands for one value."""
+    rng = random.Random(4)
+    nouns = [f"noun{k}" for k in range(400)]
+    items = [(i, " ".join(f"{rng.choice(nouns)} {rng.choice(nouns)} and {rng.randrange(2, 90)}" for _ in range(6))) for i in range(15)]
+    rows, want = [], set()
+    for i, t in items:
+        values = sorted({x for x in t.split() if x.isdigit()})
+        other = dict(zip(values, rng.sample(range(100, 999), len(values))))
+        same = " ".join(str(other.get(x, x)) for x in t.split())
+        rows += [(10 * i, f"so {same} ends"), (10 * i + 1, " ".join(rng.choice(nouns) for _ in range(60)))]
+        want.add((10 * i, i))
+        if len(values) > 3:  # all values made one: no longer the item
+            rows.append((10 * i + 2, " ".join("500" if x.isdigit() else x for x in t.split())))
+    got = {(r.doc_id, r.item_id) for r in dc.decontaminate(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == want
+
+
 def test_decontamination_on_tables(spark):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     got = {(r.doc_id, r.item_id) for r in dc.decontaminate(real(spark), bench).collect()}
@@ -309,7 +410,47 @@ def test_forward_backward_in_blocks_is_exact():
         at += n
 
 
+def test_language_words_are_letters_alone(spark):
+    assert language_id.words_of("½ ² Ⅷ ①") == [] and language_id.words_of("A½b Ünd") == ["a", "b", "ünd"]
+    rows = [(i, f"{w} " * 30, lang) for i, (w, lang) in enumerate([("der die und", "de"), ("the and of", "en")] * 20 + [("que para los", "es")])]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model[0] == ["de", "en", "es"]  # the rare one is drawn too
+    frame = spark.createDataFrame([(2**60 + 1, "½ ²", True), (None, "los que", None), (2**60 + 3, "the of " * 100_000, False)], "doc_id long, text string, held_out boolean")
+    assert {(r.doc_id, r.lang_pred) for r in language_id.identify_language(frame, model).collect()} == {(2**60 + 1, "und"), (None, "es"), (2**60 + 3, "en")}
+    assert language_id.fit(frame.selectExpr("doc_id", "text", "CAST(NULL AS STRING) AS lang")) is None
+
+
 # -- packing
+def test_packing_lengths_are_chosen_jointly():
+    rng = random.Random(1)
+    lengths = sorted((rng.choice([rng.randrange(20, 240), rng.randrange(300, 900), rng.randrange(1500, 4097)]) for _ in range(400)), reverse=True)
+    sizes = packing.CAPACITIES
+    costs = {use: packing.best_fit(lengths, sizes, use)[3] for k in range(len(sizes)) for few in combinations(sizes[:-1], k) for use in [(*few, sizes[-1])]}
+    use = packing.best_lengths(lengths)
+    assert costs[use] <= min(costs.values()) * 1.005 and costs[use] < costs[(4096,)]
+    bins, offsets, caps, total = packing.best_fit(lengths, sizes, use)
+    assert len(set(caps)) > 1 and total == pytest.approx(sum(map(packing.cost, caps)))
+    room = {}  # plain best fit by hand over all open bins, with the lengths in use
+    rest, opened = sum(lengths), []
+    for n, b in zip(lengths, bins):
+        fit = min(((r, k) for k, r in enumerate(opened) if r >= n), default=None)
+        if fit is None:
+            cap = min((c for c in use if c >= n), key=lambda c: (packing.cost(c) / min(c, rest), c))
+            opened.append(cap)
+            fit = (cap, len(opened) - 1)
+        assert fit[1] == b
+        opened[b] -= n
+        rest -= n
+        room[b] = opened[b]
+
+
+def test_packing_spreads_rows_of_one_id(spark):
+    rows = [(None, "w " * 300)] * 500 + [(2**60 + 1, "w " * 5000)] + [(2**60 + 3, "w")] * 2
+    got = packing.pack(docs(spark, rows), shard_pieces=100).collect()
+    assert len({r.bin_id.split("-")[0] for r in got if r.doc_id is None}) > 3 and len(got) == 504
+    assert sum(r.piece_len for r in got if r.doc_id == 2**60 + 1) == 5000 and sum(r.piece_len for r in got if r.doc_id == 2**60 + 3) == 2
+
+
 def test_packing_is_whole_and_fits(spark):
     rows = [(i, "w " * (i * 7919 % 700)) for i in range(300)] + [(1000, "w " * 9000), (1001, None), (1002, ""), (1000, "w " * 9000)]
     got = packing.pack(docs(spark, rows), shard_pieces=200).collect()
@@ -362,6 +503,54 @@ def test_quality_script_is_that_of_most_letters(spark):
     assert got[10].script == "latin" and got[11].script == "other"
 
 
+def test_quality_rejects_by_fitted_bands(spark):
+    """Gibberish, mis-encoded and shouted texts go where a corpus shows what is usual; clean texts stay."""
+    rng = random.Random(11)
+    vocab = [w for r in real(spark).collect() if r.text for w in r.text.split() if w.isalpha() and w.islower()]
+    clean = [(i, " ".join(rng.choice(vocab) for _ in range(rng.randrange(80, 300)))) for i in range(300)]
+    junk = [(1000 + i, " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8)) for _ in range(150))) for i in range(10)]
+    junk += [(2000 + i, t.upper()) for i, t in clean[:10]] + [(3000 + i, " | ".join(t.split())) for i, t in clean[:10]]
+    got = {r.doc_id: r for r in quality.quality_rules(docs(spark, clean + junk)).collect()}
+    assert np.mean([got[i].kept for i, _ in clean]) > 0.98
+    assert np.mean([got[i].kept for i, _ in junk]) < 0.2
+    assert all(got[i].kept for i in (2000, 2001)) or not any(got[i].base_failed for i in got if i >= 2000)
+    few = {r.doc_id: r.kept for r in quality.quality_rules(docs(spark, clean[:50])).collect()}  # too few for bands: the limits alone
+    assert all(few.values())
+
+
+def test_quality_measures_match_brute_force(spark):
+    import sentencepiece
+
+    ranks, pieces = quality.vocabulary_paths()
+    fertility = quality.Fertility(ranks, pieces)
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces)
+    texts = [r.text for r in real(spark).limit(40).collect() if r.text] + ["naïve 漢字 ☃ \U0001f600 x", "ab\tcd"]
+    got = quality.measure(texts, fertility)
+    for k, t in enumerate(texts):
+        ids = [i for w in words(t) for i in fertility.encoding.encode_ordinary(" " + w)]
+        p = [ids.count(i) / len(ids) for i in set(ids)]
+        assert got["n_tokens"][k] == len(ids) and got["entropy"][k] == pytest.approx(-sum(x * np.log2(x) for x in p))
+        chars = [c for c in t if not c.isspace()]
+        falls = [c for c in chars if any(sp.is_byte(i) for i in sp.encode(c))]
+        assert got["byte_share"][k] == pytest.approx(len(falls) / len(chars))
+
+
+def test_ids_beside_nulls_and_clashing_columns(spark):
+    """Large ids beside a null in one partition come back as they are; extra columns of any name do no harm."""
+    text = "\n".join(f"line {k} " + "w " * 12 for k in range(12))
+    clash = "n_words long, kept boolean, text_ string, n_lines long, n_removed long, removed string, piece long, component_id long, kind string, h long, n long"
+    rows = [(i, t, None, None, None, 5, True, "z", 6, 7, "r", 8, 9, "k", 10, 11) for i, t in ((2**60 + 1, text), (None, "x"), (2**60 + 3, text), (2**60 + 3, text))]
+    frame = spark.createDataFrame(rows, f"{DOCS}, {clash}").coalesce(1)
+    ids = sorted([str(2**60 + 1), "None", str(2**60 + 3), str(2**60 + 3)])
+    back = lambda df: sorted(str(r.doc_id) for r in df.collect())
+    assert back(quality.quality_rules(frame)) == ids and back(ngram_jaccard_join(frame)) == ids and back(packing.pack(frame)) == ids and back(pii.find_pii(frame)) == ids
+    assert sorted((str(r.doc_id), r.n_removed) for r in line_dedup(frame).collect()) == sorted([("None", 0), (str(2**60 + 1), 0), (str(2**60 + 3), 12), (str(2**60 + 3), 12)])
+    kept = quality.keep_documents(frame)
+    assert kept.columns == frame.columns and back(kept) == []
+    bench = spark.createDataFrame([(1, "line 3 " + "w " * 12)], "item_id long, text string")
+    assert {str(r.doc_id) for r in dc.decontaminate(frame, bench).collect()} == {str(2**60 + 1), str(2**60 + 3)}
+
+
 def test_pipeline_stages_take_effect(spark):
     import corpus_pipeline as p
 
