@@ -82,14 +82,15 @@ def _not_article(tag: str, attrs: str, article: bool) -> bool:
     return tag in _CONTAINERS and any(_NAMES.search(a or b or c) for a, b, c in _IDS.findall(attrs))
 
 
-def read_page(page: str) -> tuple[list[str], list[int], list[tuple[int, int, int, bool]]]:
-    """Blocks of text, their kinds, and subtrees that may be template: (hash, first block, end block, in an article or prose)."""
+def read_page(page: str) -> tuple[list[str], list[int], list[tuple[int, int, int]]]:
+    """Blocks of text, their kinds, and subtrees that may be template: (hash, first block, end block). The lowest bit
+    of a hash tells whether the subtree lies in an article or is prose."""
     import xxhash
 
     blocks: list[str] = []
     kinds: list[int] = []
     before = [0]  # characters before each block
-    subtrees: list[tuple[int, int, int, bool]] = []
+    subtrees: list[tuple[int, int, int]] = []
     stack = [_Node("", False, False, False, 0, 0, True)]
     scopes = [0]  # places in the stack of the elements in _SCOPES
     inline: list[dict[str, int]] = [{}]  # open inline elements within each of them
@@ -130,7 +131,9 @@ def read_page(page: str) -> tuple[list[str], list[int], list[tuple[int, int, int
         parent.parts.append(f"\x1e{digest:x}")
         parent.holds_main |= node.holds_main
         if node.block and not node.unseen and not node.holds_main and len(blocks) > node.first:
-            subtrees.append((digest - (1 << 64) if digest >> 63 else digest, node.first, len(blocks), node.article or node.tag in _PROSE))
+            inside = node.article or node.tag in _PROSE
+            digest = digest & ~1 | inside
+            subtrees.append((digest - (1 << 64) if digest >> 63 else digest, node.first, len(blocks)))
 
     def close_to(depth: int):
         while len(stack) > depth:
@@ -225,31 +228,34 @@ def parsed_pages(pages: DataFrame) -> DataFrame:
                 blocks, kinds, subtrees = read_page(t or "")
                 out["blocks"].append(blocks)
                 out["kinds"].append(kinds)
-                out["subtrees"].append([{"hash": h, "first": a, "last": b - 1, "inside": i} for h, a, b, i in subtrees])
+                out["subtrees"].append([{"hash": h, "first": a, "last": b - 1} for h, a, b in subtrees])
             return None, out
 
         return work
 
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
     held = pages.select("page_id", "url", "html", host.alias("host"))
-    schema = "blocks array<string>, kinds array<int>, subtrees array<struct<hash: bigint, first: int, last: int, inside: boolean>>"
+    schema = "blocks array<string>, kinds array<int>, subtrees array<struct<hash: bigint, first: int, last: int>>"
     return materialize(per_slice(held, ["page_id", "url", "host"], "html", make, schema, limit=4_000_000))
 
 
 def site_templates(parsed: DataFrame) -> DataFrame:
-    """(host, pages, template: array of (hash, inside), size) of the subtrees that recur on a host."""
+    """(host, pages, template: array of hashes, size) of the subtrees that recur on a host."""
     seen = parsed.filter("host <> ''")
-    once = F.array_distinct(F.transform("subtrees", lambda s: F.struct(s.hash.alias("hash"), s.inside.alias("inside"))))
-    counts = materialize(seen.select("host", F.explode(once).alias("s")).groupBy("host", "s.hash", "s.inside").count().filter(f"count >= {OUTSIDE[0]}"))
-    totals = seen.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    once = F.array_distinct(F.transform("subtrees", lambda s: s.hash))
+    counts = materialize(seen.select("host", F.explode(once).alias("hash")).groupBy("host", "hash").count().filter(f"count >= {OUTSIDE[0]}"))
+    totals = materialize(seen.groupBy("host").agg(F.count(F.lit(1)).alias("pages")))
+    totals = F.broadcast(totals) if totals.count() <= BROADCAST_KEYS else totals
     (n0, s0), (n1, s1) = OUTSIDE, INSIDE
-    often = counts.join(totals, "host").filter(F.expr(f"IF(inside, count >= {n1} AND count >= {s1} * pages, count >= {n0} AND count >= {s0} * pages)"))
-    return materialize(often.groupBy("host").agg(F.first("pages").alias("pages"), F.collect_list(F.struct("hash", "inside")).alias("template"), F.count(F.lit(1)).alias("size")))
+    often = counts.join(totals, "host").filter(F.expr(f"IF(hash & 1 = 1, count >= {n1} AND count >= {s1} * pages, count >= {n0} AND count >= {s0} * pages)"))
+    return materialize(often.groupBy("host").agg(F.first("pages").alias("pages"), F.collect_list("hash").alias("template"), F.count(F.lit(1)).alias("size")))
 
 
 def main_text(parsed: DataFrame) -> DataFrame:
     """``parsed`` with text, from its blocks; the column template holds its host's (null: none)."""
-    dropped = F.filter("subtrees", lambda s: F.array_contains("template", F.struct(s.hash.alias("hash"), s.inside.alias("inside"))))
+    # An intersection looks the hashes up; a test of each against the list would compare them all.
+    parsed = parsed.withColumn("both", F.array_intersect(F.transform("subtrees", lambda s: s.hash), "template"))
+    dropped = F.filter("subtrees", lambda s: F.array_contains("both", s.hash))
     gone = F.array_distinct(F.flatten(F.transform(dropped, lambda s: F.sequence(s["first"], s["last"]))))
     parsed = parsed.withColumn("gone", F.when(F.col("template").isNotNull(), gone))
     least = F.when(F.array_contains("kinds", ARTICLE), ARTICLE).otherwise(PLAIN)
