@@ -6,10 +6,11 @@ nothing. Two documents link when their sets' Jaccard similarity reaches percent
 
 Steps, all distributed:
 
-1. *Sets.* One pass hashes shingles to 64 bits and writes every document's set; nothing is hashed again. Equal sets (compared by
-   size and 128 bits of hash) form a class of which only one goes on, so copies cost no pairs. The same pass counts in how
-   many texts every shingle occurs, in packed blocks dealt by hash range; the at most ``HOT_LIMIT`` most frequent shingles (the
-   threshold grows until they fit) are the only counts that are broadcast.
+1. *Sets.* One pass hashes shingles to 64 bits and writes every document's set, sorted and packed to the first 48 bits of each;
+   nothing is hashed again. Sizes are those of the 64-bit sets. Equal sets (compared by size and 128 bits of hash) form a class of
+   which only one goes on, so copies cost no pairs. The packed sets tell in how many texts every shingle occurs, counted in
+   blocks dealt by hash range; the at most ``HOT_LIMIT`` most frequent shingles (the threshold grows until they fit) are the
+   only counts that are broadcast.
 2. *Prefixes.* Shingles are ordered rare first: those not listed as frequent by hash, then the listed ones by frequency. If
    sets x and y link, they share at least l of the first |x| - ceil(t|x|) + l and |y| - ceil(t|y|) + l shingles, for any l.
    Each document takes the l (up to ``MAX_MATCH``) whose estimated cost is least: postings read, plus the candidates expected
@@ -98,46 +99,67 @@ def _signed(x) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _scan(docs: DataFrame, width: int, bits: int) -> DataFrame:
-    """Rows without a block: a document's set with its size and hash. The others: 32-bit shingle hashes of one block, with counts."""
-    names = ["doc_id", "n", "s1", "s2", "shingles", "block", "tokens", "counts"]
-    types = [T.LongType(), T.LongType(), T.LongType(), T.ArrayType(T.LongType()), T.IntegerType(), T.BinaryType(), T.BinaryType()]
+def _pack_set(s: np.ndarray) -> bytes:
+    """The first 48 bits of sorted hashes: four byte planes of the steps between their first 32 bits, then the 16 bits after them."""
+    steps = np.diff((s >> np.uint64(32)).astype("<u4"), prepend=np.uint32(0))
+    return steps.view(np.uint8).reshape(-1, 4).T.tobytes() + (s >> np.uint64(16)).astype("<u2").tobytes()
+
+
+def _unpack_set(data: bytes) -> np.ndarray:
+    """What ``_pack_set`` kept: sorted 48-bit hashes (uint64)."""
+    n = len(data) // 6
+    if not n:
+        return np.zeros(0, dtype=np.uint64)
+    planes = np.frombuffer(data, dtype=np.uint8, count=4 * n).reshape(4, n)
+    first = np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel(), dtype=np.uint64)
+    return (first << np.uint64(16)) | np.frombuffer(data, dtype="<u2", offset=4 * n).astype(np.uint64)
+
+
+def _scan(docs: DataFrame, width: int) -> DataFrame:
+    """A document's packed set with its size and hash."""
+    names = ["doc_id", "n", "s1", "s2", "packed"]
+    types = [T.LongType(), T.LongType(), T.LongType(), T.BinaryType()]
     schema = T.StructType([docs.schema["doc_id"], *[T.StructField(n, t) for n, t in zip(names[1:], types)]])
 
     def run(batches):
-        arrow = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.binary(), pa.binary()]
-        hashes, held, size, kind = WordHashes(), [], 0, None
+        hashes = WordHashes()
+        for batch in batches:
+            ids, texts = batch.column(0), batch.column(1).to_pylist()
+            for a, b in text_slices(texts):
+                rows = []
+                for s in shingle_sets(texts[a:b], hashes, width):
+                    s1 = _signed(np.bitwise_xor.reduce(s)) if len(s) else 0
+                    rows.append((len(s), s1, _signed(mix64(s + np.uint64(_MUL[0])).sum(dtype=np.uint64)), _pack_set(s)))
+                columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.binary()))]
+                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), *columns], names=names)
+
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
 
-        def record(ids, columns):
-            return pa.RecordBatch.from_arrays([ids, *[c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, arrow)]], names=names)
+
+def _blocks(sets: DataFrame, bits: int) -> DataFrame:
+    """The first 32 bits of shingle hashes in blocks by their first ``bits`` bits, with counts (null: all one)."""
+
+    def run(batches):
+        held, size = [], 0
 
         def flush():
             values, counts = np.unique(np.concatenate(held), return_counts=True)
             cuts = np.searchsorted(values.astype(np.uint64), np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(32 - bits))
             rows = [(b, _pack(v, b << (32 - bits)), np.minimum(c, 0xFFFF).astype(np.uint16).tobytes() if c.max() > 1 else None) for b, (v, c) in enumerate(zip(np.split(values, cuts), np.split(counts, cuts))) if len(v)]
-            none = [None] * len(rows)
-            return record(pa.nulls(len(rows), kind), [none, none, none, none, *zip(*rows)])
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))]
+            return pa.RecordBatch.from_arrays(columns, names=["block", "tokens", "counts"])
 
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            kind = ids.type
-            for a, b in text_slices(texts):
-                sets = list(shingle_sets(texts[a:b], hashes, width))
-                s1 = [_signed(np.bitwise_xor.reduce(s)) if len(s) else 0 for s in sets]
-                s2 = [_signed(mix64(s + np.uint64(_MUL[0])).sum(dtype=np.uint64)) for s in sets]
-                ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-                flat = np.concatenate(sets)
-                none = [None] * len(sets)
-                yield record(ids.slice(a, b - a), [np.diff(ends).astype(np.int64), s1, s2, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64))), none, none, none])
-                held.append((flat >> np.uint64(32)).astype(np.uint32))
-                size += len(flat)
+            for data in batch.column(0):
+                held.append((_unpack_set(data.as_py()) >> np.uint64(16)).astype(np.uint32))
+                size += len(held[-1])
                 if size >= FLUSH_TOKENS:
                     yield flush()
                     held, size = [], 0
         if size:
             yield flush()
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return sets.filter("n > 0").select("packed").mapInArrow(run, "block int, tokens binary, counts binary")
 
 
 def _frequent(blocks: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -170,24 +192,23 @@ def _frequent(blocks: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _prefixes(sets: DataFrame, percent: int, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """node, n, m, prefix, parity of the sets (node, shingles) that aren't empty."""
+    """node, n, m, prefix, parity of the sets (node, n, packed) that aren't empty."""
     shared = sets.sparkSession.sparkContext.broadcast(hot)  # HOT_LIMIT bounds it: 3 MB
 
-    def run(batches):
+    def frequency(s: np.ndarray) -> np.ndarray:
         token, counts = shared.value
+        if not len(token):
+            return np.ones(len(s), dtype=np.int64)
+        top = (s >> np.uint64(16)).astype(np.uint32)
+        at = np.minimum(np.searchsorted(token, top), len(token) - 1)
+        return np.where(token[at] == top, counts[at], 1)
+
+    def run(batches):
         for batch in batches:
-            nodes, lists = batch.column(0), batch.column(1)
-            flat, ends = lists.values.to_numpy(zero_copy_only=False).view(np.uint64), lists.offsets.to_numpy()
-            if len(token):
-                top = (flat >> np.uint64(32)).astype(np.uint32)
-                at = np.minimum(np.searchsorted(token, top), len(token) - 1)
-                all_df = np.where(token[at] == top, counts[at], 1)
-            else:
-                all_df = np.ones(len(flat), dtype=np.int64)
             sizes, matches, prefixes, parities = [], [], [], []
-            for a, b in zip(ends, ends[1:]):
-                s, df = flat[a:b], all_df[a:b]
-                n = len(s)
+            for data in batch.column(1):
+                s = _unpack_set(data.as_py())
+                n, df = len(s), frequency(s)
                 least = -(-percent * n // 100)
                 # the bits are of the whole set
                 bits = (np.bincount((s & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS) & 1).astype(np.uint8)
@@ -202,9 +223,25 @@ def _prefixes(sets: DataFrame, percent: int, hot: tuple[np.ndarray, np.ndarray])
                 matches.append(best)
                 prefixes.append(s[: n - least + best].view(np.int64))
             long = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([nodes, pa.array(sizes, pa.int32()), pa.array(matches, pa.int32()), pa.array(prefixes, long), pa.array(parities, long)], names=["node", "n", "m", "prefix", "parity"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(matches, pa.int32()), pa.array(prefixes, long), pa.array(parities, long)], names=["node", "n", "m", "prefix", "parity"])
+
+    return sets.filter("n > 0").select("node", "packed").mapInArrow(run, "node long, n int, m int, prefix array<long>, parity array<long>")
+
+
+def _unpacked(sets: DataFrame) -> DataFrame:
+    """node and shingles of sets (node, packed), in batches of a bounded number of shingles or one set."""
+
+    def run(batches):
+        for batch in batches:
+            sizes = np.array([len(data.as_py()) // 6 for data in batch.column(1)])
+            start = 0
+            while start < len(sizes):
+                end = start + max(1, int(np.searchsorted(np.cumsum(sizes[start:]), FLUSH_TOKENS, side="right")))
+                lists = [_unpack_set(data.as_py()).view(np.int64) for data in batch.column(1).slice(start, end - start)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, end - start), pa.array(lists, pa.list_(pa.int64()))], names=["node", "shingles"])
+                start = end
 
-    return sets.filter("size(shingles) > 0").select("node", "shingles").mapInArrow(run, "node long, n int, m int, prefix array<long>, parity array<long>")
+    return sets.select("node", "packed").mapInArrow(run, "node long, shingles array<long>")
 
 
 def _verified(sets: DataFrame, prefixes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
@@ -216,7 +253,8 @@ def _verified(sets: DataFrame, prefixes: DataFrame, pairs: DataFrame, percent: i
         """``found`` with structs x and y, the columns of both sides."""
         # A broadcast of the ids spares the other rows of the table a shuffle.
         needed = sized_ids(found.select(F.col("a").alias("node")).unionByName(found.select(F.col("b").alias("node"))).distinct())
-        own = table.select("node", F.struct(*columns).alias("own")).join(needed, "node", "left_semi")
+        own = table.join(needed, "node", "left_semi")
+        own = (_unpacked(own) if columns == ["shingles"] else own).select("node", F.struct(*columns).alias("own"))
         held = found.select("a", "b").join(own.select(F.col("node").alias("b"), F.col("own").alias("y")), "b")
         # "a" is the one that may be in very many pairs
         return join_salted(held, own.select(F.col("node").alias("a"), F.col("own").alias("x")), "a", found, "b")
@@ -235,13 +273,13 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     docs = docs.select("doc_id", "text")
     bits = min(20, max(6, docs.select(F.lit(1)).count() // 4000).bit_length())
     plain = {"compression": "zstd", "parquet.enable.dictionary": "false"}
-    scan = materialize(_scan(docs, width, bits).withColumn("node", F.monotonically_increasing_id()), **plain)
-    sized = scan.filter("block IS NULL").select("doc_id", "node", "n", "s1", "s2")
-    hot = _frequent(scan.filter("block IS NOT NULL").select("block", "tokens", "counts"), bits)
+    scan = materialize(_scan(docs, width).withColumn("node", F.monotonically_increasing_id()), **plain)
+    sized = scan.select("doc_id", "node", "n", "s1", "s2")
+    sets = scan.select("node", "n", "packed")
+    hot = _frequent(_blocks(sets, bits), bits)
 
     classes = sized.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("class_id"), F.min("node").alias("node"), F.count(F.lit(1)).alias("rows"))
     classes = materialize(classes)
-    sets = scan.filter("block IS NULL").select("node", "shingles")
     prefixes = materialize(_prefixes(sets, percent, hot).join(classes.select("node"), "node", "left_semi"), **plain)
     postings = prefixes.select("node", F.explode("prefix").alias("token"))
     shared = postings.groupBy("token").count().filter("count > 1").select("token")
