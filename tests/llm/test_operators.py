@@ -562,3 +562,14 @@ def test_pipeline_stages_take_effect(spark):
         before = d.count()
     out = p.STAGES[-1][1](spark, d, SF)
     assert {r.doc_id for r in out.select("doc_id").collect()} == {r.doc_id for r in d.select("doc_id").collect()}
+
+
+def test_packed_sets_keep_48_bits():
+    from brindle.llm.jaccard_join import _pack_set, _unpack_set
+
+    rng = np.random.default_rng(5)
+    near = np.array([0, 1, 1 << 16, (1 << 32) - 1, 1 << 32, (1 << 64) - 1], dtype=np.uint64)
+    for s in (near[:0], near[:1], near[-1:], near, *(np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64)) for n in (1, 7, 500, 200_000))):
+        data = _pack_set(s)
+        assert len(data) == 6 * len(s)
+        assert np.array_equal(_unpack_set(data), s >> np.uint64(16))
