@@ -6,10 +6,14 @@ Dot commands: .import [--ascii|--csv|--tsv] [--skip-header] [--escape C] FILE TA
 from __future__ import annotations
 
 import argparse
+import atexit
 import shlex
 import sys
+from pathlib import Path
 
 from brindle.errors import SqlError
+from brindle.functions.scalar import AGGREGATES, SCALARS
+from brindle.plans.lexer import KEYWORDS
 from brindle.session import Database, Session
 
 
@@ -60,6 +64,27 @@ def command(session: Session, line: str) -> bool:
     return True
 
 
+def completions(session: Session, text: str) -> list[str]:
+    """Dot commands, keywords (in the case that was typed), tables, views and functions that begin so."""
+    words = {k.upper() if text.isupper() else k for k in KEYWORDS}
+    words |= {".import", ".read", ".quit", *session.state["tables"], *session.state["views"], *session.db.external, *SCALARS, *AGGREGATES}
+    return sorted(w for w in words if w.startswith(text))
+
+
+def edited_lines(session: Session, history: Path) -> None:
+    """History and completion of the lines read, where the platform has readline."""
+    try:
+        import readline
+    except ImportError:
+        return
+    if history.exists():
+        readline.read_history_file(history)
+    atexit.register(readline.write_history_file, history)
+    readline.set_completer_delims(" \t\n()=<>,;+-*/%|'\"")
+    readline.set_completer(lambda text, k: [*completions(session, text), None][k])
+    readline.parse_and_bind("tab: complete")
+
+
 def main(argv: list[str]) -> int:
     p = argparse.ArgumentParser("brindle", description=__doc__)
     p.add_argument("--db")
@@ -75,6 +100,8 @@ def main(argv: list[str]) -> int:
             session.script(f.read())
     for sql in a.sql:
         command(session, sql)
+    if not a.sql:
+        edited_lines(session, Path.home() / ".brindle_history")
     while not a.sql:
         try:
             line = input("brindle> ")

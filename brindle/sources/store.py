@@ -1,7 +1,7 @@
 """Tables as immutable Parquet snapshots.
 
-A table's snapshot is a list of Parquet folders. INSERT adds a folder, UPDATE and DELETE write the table anew; a commit swaps the
-catalog's pointers, a rollback forgets the new folders. ``ParquetStore`` keeps the catalog in a JSON manifest beside them, so a
+A table's snapshot is a list of Parquet folders. INSERT adds a folder, UPDATE and DELETE write those anew that hold rows they
+change; a commit swaps the catalog's pointers, a rollback forgets the new folders. ``ParquetStore`` keeps the catalog in a JSON manifest beside them, so a
 database can be opened again; without a path it lives in a folder of its own below ``spark.checkpoint.dir``. ``BlackholeStore`` takes writes and reads empty.
 """
 

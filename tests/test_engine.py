@@ -197,6 +197,39 @@ def test_old_snapshots_go(spark, s):
     assert rows(s, "SELECT a FROM t") == [(KEEP_COMMITS + 2,)]
 
 
+def test_changes_rewrite_only_folders_with_hits(s):
+    s.script("CREATE TABLE t (a INT PRIMARY KEY, b TEXT NOT NULL); INSERT INTO t VALUES (1, 'x'), (2, 'y'); INSERT INTO t VALUES (3, 'z'); INSERT INTO t VALUES (4, 'w')")
+    first, second, third = s.state["tables"]["t"]["paths"]
+    assert s.execute("UPDATE t SET b = b || '!' WHERE a = 3") == 1
+    paths = s.state["tables"]["t"]["paths"]
+    assert paths[0] == first and paths[1] != second and paths[2] == third
+    for bad in ("UPDATE t SET a = 1 WHERE a = 3", "UPDATE t SET b = NULL WHERE a = 4"):  # a key of a folder that stays
+        with pytest.raises(ExecutionError):
+            s.execute(bad)
+    assert s.execute("DELETE FROM t WHERE a = 2 OR b = 'w'") == 2
+    assert rows(s, "SELECT * FROM t ORDER BY a") == [(1, "x"), (3, "z!")] and paths[1] in s.state["tables"]["t"]["paths"]
+    assert s.execute("DELETE FROM t WHERE a > 100") == 0 and s.execute("UPDATE t SET a = a + 2") == 2
+    assert rows(s, "SELECT a FROM t ORDER BY a") == [(3,), (5,)]
+    assert s.execute("DELETE FROM t") == 2 and rows(s, "SELECT count(*) FROM t") == [(0,)]
+    assert s.execute("DELETE FROM t") == 0 and s.execute("UPDATE t SET b = 'q'") == 0
+
+
+def test_changes_by_chance_are_counted_right(s):
+    s.script("CREATE TABLE t (a INT)")
+    for k in range(3):
+        s.execute(f"INSERT INTO t SELECT g FROM generate_series({1000 * k + 1}, {1000 * k + 1000}) x(g)")
+    gone = s.execute("DELETE FROM t WHERE a > 1000 AND random() < 0.1")
+    assert 0 < gone < 2000 and rows(s, "SELECT count(*) FROM t") == [(3000 - gone,)]
+
+
+def test_shell_completes_words(s):
+    from brindle.__main__ import completions
+
+    s.script("CREATE TABLE selection (a INT); CREATE VIEW seldom AS SELECT a FROM selection")
+    assert completions(s, "sel") == ["seldom", "select", "selection"] and "SELECT" in completions(s, "SEL")
+    assert completions(s, ".im") == [".import"] and completions(s, "zzz") == []
+
+
 def test_names_that_are_no_keywords(s):
     s.execute("CREATE TABLE t (bool BOOL, escape INT)")
     s.execute("INSERT INTO t VALUES (true, 1)")
