@@ -280,7 +280,9 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
 
     classes = sized.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("class_id"), F.min("node").alias("node"), F.count(F.lit(1)).alias("rows"))
     classes = materialize(classes)
-    prefixes = materialize(_prefixes(sets, percent, hot).join(classes.select("node"), "node", "left_semi"), **plain)
+    # Copies are told by id alone, and fewer than the rows: unless they are very many, no prefix is shuffled to leave them out.
+    copies = sized_ids(sized.filter("n > 0").select("node").join(classes.select("node"), "node", "left_anti"))
+    prefixes = materialize(_prefixes(sets, percent, hot).join(copies, "node", "left_anti"), **plain)
     postings = prefixes.select("node", F.explode("prefix").alias("token"))
     shared = postings.groupBy("token").count().filter("count > 1").select("token")
     postings = materialize(postings.join(shared, "token", "left_semi"))
