@@ -7,7 +7,8 @@ on, wherever it stands (within a long line, or behind another licence). Its bigr
 Dice t needs |A n B| >= t/(2-t) * |B| and t/(2-t) * |B| <= |A| <= (2-t)/t * |B|. So a template is looked at only where the text holds
 at least t/(2-t) of its bigrams, and a line or run only if its own size lies within those bounds of a template and it holds at least as
 many bigrams of templates as the smallest needs. These bounds are exact: they drop no region that reaches the threshold. Windows
-of a template that start at a bigram of it are counted by sums over positions, and the best of each stretch is compared in full.
+of a template that start at a bigram of it are counted by sums over positions, and all that may reach it are compared in full,
+however many a text has, so that a passage is found alike in a short and in a long text.
 
 Every text is scanned whole. Returns one row per (doc_id, license): dice (the best), the region's first_line and last_line
 (from 0, the first of equals), n_regions, regions that reach the threshold without overlapping a better one, and is_best, false
@@ -19,6 +20,7 @@ ignored; an empty table gives no rows. Licences that have no text in ``_TEXTS``
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -26,6 +28,8 @@ from pyspark.sql import DataFrame
 from brindle.llm.common import per_slice
 
 THRESHOLD = 0.8
+#: Windows are compared in batches of so many cells at most (or one window); the batch changes no result.
+WINDOW_CELLS = 1 << 21
 _WORD = re.compile(r"[^\W_]+(?:[.+-][^\W_]+)*|\n")
 
 #: Names of licences for notices of one line: fixed values.
@@ -114,28 +118,55 @@ class Scanner:
                 found[name] = dice
         return [(d, k) for k, d in found.items()]
 
-    def windows(self, bigrams: np.ndarray) -> set[tuple[int, int]]:
-        """Word ranges of the windows that may reach the threshold. bigrams: numbers of the text's bigrams, -1 outside templates."""
+    def windows(self, bigrams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Word ranges (starts, ends) of all windows that may reach the threshold, and the templates that the text may hold.
+        bigrams: numbers of the text's bigrams, -1 outside templates."""
         at = np.flatnonzero(bigrams >= 0)
-        here = np.unique(bigrams[at])
-        out = set()
-        for j in np.flatnonzero(self.holds[here].sum(axis=0) >= self.need):
+        present = np.flatnonzero(self.holds[np.unique(bigrams[at])].sum(axis=0) >= self.need)
+        ranges = [np.zeros(0, dtype=np.int64)]
+        width = len(bigrams) + 2
+        for j in present:
             own = at[self.holds[bigrams[at], j]]
             size = self.words[j]
             inside = np.searchsorted(own, own + size - 1) - np.arange(len(own))  # positions of its bigrams in each window
-            good = np.flatnonzero(inside >= self.need[j])
-            # of windows that overlap, those with the most positions are compared; equals by place
-            last = -1
-            for k in good[np.lexsort((own[good], -inside[good]))] if len(good) <= 64 else good:
-                start = int(own[k])
-                if len(good) > 64:  # many: the best of each stretch of a window's length
-                    if start < last:
-                        continue
-                    near = good[(own[good] >= start) & (own[good] < start + size)]
-                    start = int(own[near[inside[near].argmax()]])
-                    last = start + size
-                out.add((start, min(start + size, len(bigrams) + 1)))
-        return out
+            start = own[inside >= self.need[j]]
+            ranges.append(start * width + np.minimum(start + size, width - 1))
+        start, end = np.divmod(np.unique(np.concatenate(ranges)), width)
+        return start, end, present
+
+    def compare(self, bigrams: np.ndarray, words: list[str]) -> dict[str, list[np.ndarray]]:
+        """licence -> (-Dice, start, end) of all windows that reach it, in arrays: what ``best`` finds, for all windows at once."""
+        start, end, present = self.windows(bigrams)
+        found: dict[str, list[np.ndarray]] = {}
+        if not len(start):
+            return found
+        # the position where each bigram of the text was last: a window's distinct bigrams are those that were last before it
+        numbers: dict[str, int] = {}
+        ids = np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), dtype=np.int64, count=len(words))
+        codes = ids[:-1] * len(numbers) + ids[1:]
+        order = np.argsort(codes, kind="stable")
+        last = np.full(len(codes), -1, dtype=np.int64)
+        again = codes[order[1:]] == codes[order[:-1]]
+        last[order[1:][again]] = order[:-1][again]
+        here = np.unique(bigrams[bigrams >= 0])
+        holds = self.holds[np.ix_(here, present)].astype(np.float32)  # counts are whole numbers below 2**24
+        sizes = self.sizes[present]
+        lengths = end - start - 1
+        step = max(1, WINDOW_CELLS // max(len(here), int(lengths.max())))
+        for k in range(0, len(start), step):
+            first, n = start[k : k + step], lengths[k : k + step]
+            row = np.repeat(np.arange(len(n)), n)
+            place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + first[row]
+            fresh = last[place] < first[row]
+            distinct = np.bincount(row[fresh], minlength=len(n))
+            fresh &= bigrams[place] >= 0
+            own = np.zeros((len(n), len(here)), dtype=np.float32)
+            own[row[fresh], np.searchsorted(here, bigrams[place[fresh]])] = 1
+            dice = 2 * (own @ holds).astype(np.float64) / (distinct[:, None] + sizes)
+            for j in np.flatnonzero((dice >= self.threshold).any(axis=0)):
+                good = np.flatnonzero(dice[:, j] >= self.threshold)
+                found.setdefault(self.sets[present[j]][0], []).append(np.stack([-dice[good, j], first[good], first[good] + n[good] + 1]))
+        return found
 
     def scan(self, text: str) -> dict[str, tuple[float, int, int, int, bool]]:
         """licence -> (dice, first line, last line, regions, whether no other licence fits that place better)."""
@@ -159,25 +190,27 @@ class Scanner:
         edges = np.flatnonzero(np.diff(np.concatenate([[0], run.astype(np.int8), [0]])))
         regions |= {(int(starts[a]), int(ends[b - 1])) for a, b in zip(edges[::2], edges[1::2]) if b - a > 1 and per_line[a:b].sum() >= self.need[0]}
         regions.add((0, len(words)))
-        regions |= self.windows(bigrams)
-        found: dict[str, list[tuple[float, int, int]]] = {}
+        found = self.compare(bigrams, words)
         for a, b in regions:
             near = int(hits[a : b - 1].sum())
             # a set of n bigrams of which near lie in templates reaches none but those that near suffices for
             if near >= self.need[0]:
                 for dice, name in self.best(words[a:b]):
-                    found.setdefault(name, []).append((-dice, a, b))
-        best = {name: min(hit) for name, hit in found.items()}
+                    found.setdefault(name, []).append(np.array([[-dice], [a], [b]]))
+        # the best first, equals by place; places are exact as doubles
+        hits = {name: (h := np.concatenate(hit, axis=1))[:, np.lexsort(h[::-1])] for name, hit in found.items()}
+        best = {name: (float(h[0, 0]), int(h[1, 0]), int(h[2, 0])) for name, h in hits.items()}
         out = {}
-        for name, hit in found.items():
-            taken: list[tuple[int, int]] = []
-            for _, a, b in sorted(hit):
-                if all(b <= x or a >= y for x, y in taken):
-                    taken.append((a, b))
+        for name, hit in hits.items():
+            taken: list[int] = []  # starts and ends of the regions taken, in order; none overlap
+            for a, b in zip(hit[1].astype(np.int64).tolist(), hit[2].astype(np.int64).tolist()):
+                k = bisect_right(taken, a)
+                if k % 2 == 0 and (k == len(taken) or taken[k] >= b):
+                    taken[k:k] = [a, b]
             least, a, b = best[name]
             ahead = any(d < least and x < b and a < y for d, x, y in best.values())
             line = lambda at: int(np.searchsorted(starts, at, side="right")) - 1
-            out[name] = (-least, line(a), line(b - 1), len(taken), not ahead)
+            out[name] = (-least, line(a), line(b - 1), len(taken) // 2, not ahead)
         return out
 
 

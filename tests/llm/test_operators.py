@@ -237,6 +237,19 @@ def test_license_windows(spark):
     assert licenses.license_scan(docs(spark, [])).collect() == []
 
 
+def test_license_windows_of_long_texts():
+    """A passage is found alike however often the text holds it: each of its windows is compared, few or many."""
+    scanner = licenses.Scanner()
+    known = dict(licenses.templates())
+    rng = random.Random(1)
+    for name in ("MPL-2.0", "Zlib", "ISC", "MIT", "CC-BY-4.0"):
+        for _ in range(6):
+            block = " ".join(rng.choice(["changed", x + " " + x]) if rng.random() < 0.16 else x for x in licenses.words_of(known[name]))
+            texts = [block + "".join(f" z{k}x{i}" for i in range(400)) for k in range(40)]  # apart, and no two gaps alike
+            one, many = scanner.scan(texts[0]), scanner.scan(" ".join(texts))
+            assert {k: (v[0], v[3] * 40) for k, v in one.items()} == {k: (v[0], v[3]) for k, v in many.items()}
+
+
 def test_license_scan(spark):
     mit = dict(licenses.templates())["MIT"]
     rows = [(1, "some words\nLicensed under CC BY-NC 4.0.\nmore"), (2, "text\n" + mit.replace(". ", ".\n") + "\nmore"), (3, "Licensed under the sun."), (4, None), (5, ""), (6, "x " * 50000)]
