@@ -292,17 +292,23 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     after = F.expr(f"({percent} * n + 99) div 100") - F.col("m")
     info = materialize(prefixes.drop("prefix").join(found, "node").select("node", "n", "m", "parity", "found", after.cast("int").alias("after")))
 
-    def linkable(x: str, y: str):
-        """Whether the pair can still reach the similarity, from both sizes, what they can share at most, and the bits in
-        which the parities differ (no more than the shingles that only one of both has). A prefix shingle of one may follow the
-        prefix of the other: only up to the prefix that ends first are all shared shingles in both prefixes."""
+    def fits(x: str, y: str):
+        """Whether the pair can still reach the similarity, from both sizes and what they can share at most. A prefix shingle of
+        one may follow the prefix of the other: only up to the prefix that ends first are all shared shingles in both prefixes."""
         size = F.col(f"{x}n") + F.col(f"{y}n")
-        differ = sum(F.bit_count(F.col(f"{x}parity")[k].bitwiseXOR(F.col(f"{y}parity")[k])) for k in range(PARITY_BITS // 64))
         both = F.least(F.least(F.col(f"{x}found"), F.col(f"{y}found")) + F.greatest(F.col(f"{x}after"), F.col(f"{y}after")), F.col(f"{x}n"), F.col(f"{y}n"))
-        return (100 * both >= percent * (size - both)) & ((100 + percent) * (size - differ) >= 2 * percent * size) & (F.least(F.col(f"{x}found"), F.col(f"{y}found")) >= F.least(F.col(f"{x}m"), F.col(f"{y}m")))
+        return (100 * both >= percent * (size - both)) & (F.least(F.col(f"{x}found"), F.col(f"{y}found")) >= F.least(F.col(f"{x}m"), F.col(f"{y}m")))
+
+    def alike(x: str, y: str):
+        """Whether it can, from the bits in which the parities differ (no more than the shingles that only one of both has)."""
+        size = F.col(f"{x}n") + F.col(f"{y}n")
+        differ = sum(F.bit_count(F.col(f"{x}parity")[k].bitwiseXOR(F.col(f"{y}parity")[k])) for k in range(PARITY_BITS // 64))
+        return (100 + percent) * (size - differ) >= 2 * percent * size
 
-    def of(side: str, alias: str) -> DataFrame:
-        return info.select(F.col("node").alias(side), F.struct("n", "m", "parity", "found", "after").alias(alias))
+    def beside(found: DataFrame, *columns: str) -> DataFrame:
+        """``found`` (a, b) with structs x and y, these columns of both sides."""
+        own = lambda side, alias: info.select(F.col("node").alias(side), F.struct(*columns).alias(alias))
+        return found.join(own("b", "y"), "b").join(own("a", "x"), "a")
 
     pairs = edges = known = None
     held = postings.withColumn("c", F.col("node"))
@@ -314,9 +320,11 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
         tied = held.join(anchors, "token").filter((F.col("node") != F.col("s.node")) & (F.col("c") != F.col("s.c")))
         # "a" is the one that stands for a bucket, and so in many pairs
         tied = tied.select(F.col("s.node").alias("a"), F.col("node").alias("b")).distinct()
-        tied = tied.join(of("b", "y"), "b").join(of("a", "x"), "a").filter(linkable("x.", "y.")).select("a", "b")
+        tied = beside(tied, "n", "m", "found", "after").filter(fits("x.", "y.")).select("a", "b")
         tied = tied.groupBy(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).agg(F.min("a").alias("a")).select("a", F.when(F.col("a") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("b"), "lo", "hi")
-        new = materialize(tied if pairs is None else tied.join(pairs, ["lo", "hi"], "left_anti"))
+        tied = tied if pairs is None else tied.join(pairs, ["lo", "hi"], "left_anti")
+        # Parities are wide: they are moved only beside pairs that sizes leave over.
+        new = materialize(beside(tied, "n", "parity").filter(alike("x.", "y.")).select("a", "b", "lo", "hi"))
         linked = _verified(sets, prefixes, new, percent)
         pairs = new.select("lo", "hi") if pairs is None else pairs.unionByName(new.select("lo", "hi"))
         if linked.limit(1).count():
@@ -335,7 +343,7 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     open_ = materialize(held.withColumn("before", F.lag("token").over(before)).join(info, "node"))
     x, y = open_.alias("x"), open_.alias("y")
     fresh = F.coalesce(F.col("x.before") != F.col("y.before"), F.lit(True))
-    across = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.c") != F.col("y.c")) & fresh & linkable("x.", "y."))
+    across = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.c") != F.col("y.c")) & fresh & fits("x.", "y.") & alike("x.", "y."))
     rest = across.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
     rest = materialize(rest.join(pairs.select(F.col("lo").alias("a"), F.col("hi").alias("b")), ["a", "b"], "left_anti"))
     last = _verified(sets, prefixes, rest, percent)
