@@ -262,3 +262,52 @@ def test_driver_entry(spark):
     import __spark_entry__ as e
 
     assert e.entry(spark).count() > 0 and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_pairs_of_few_keys_are_shared_among_tasks(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    n = 9000
+    spark.range(n).select("id", (F.col("id") % 2).alias("k"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("seg")).coalesce(1).write.parquet(f"{tmp_path}/c.parquet")
+    db = Database(spark)
+    db.attach_parquet(str(tmp_path), "c")
+    q = db.connect().query("SELECT a.id AS x, b.id AS y FROM c a JOIN c b ON a.k = b.k AND a.id < b.id WHERE a.seg = b.seg")
+    got = q.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n"), F.sum("x").alias("x"), F.sum("y").alias("y")).collect()
+    groups = {}
+    for i in range(n):
+        groups.setdefault((i % 2, i % 3 == 0), []).append(i)
+    expected = [(len(g) * (len(g) - 1) // 2, sum(v * (len(g) - 1 - i) for i, v in enumerate(g)), sum(v * i for i, v in enumerate(g))) for g in groups.values()]
+    assert [sum(r[c] for r in got) for c in ("n", "x", "y")] == [sum(e[c] for e in expected) for c in range(3)]
+    assert max(r["n"] for r in got) < 0.6 * sum(r["n"] for r in got)
+
+
+def test_dealt_joins_give_what_plain_ones_give(spark, s, monkeypatch):
+    from brindle.operators import dealt_join
+
+    s.script("CREATE TABLE t (k INT, r REAL, x TEXT, v INT); INSERT INTO t SELECT g % 4, CAST(g % 7 AS REAL), CAST(g % 3 AS TEXT), g FROM generate_series(1, 60) x(g)")
+    s.execute("INSERT INTO t VALUES (NULL, 1.0, 'a', 70), (1, NULL, NULL, 71), (2, CAST('nan' AS REAL), 'b', 72), (2, CAST('nan' AS REAL), 'b', 73), (3, -0.0, '0', 74), (1, 5.0, '1', 1), (1, 5.0, '1', 1)")
+    s.execute("INSERT INTO t SELECT * FROM t WHERE v < 9")
+    queries = (
+        "SELECT a.v, b.v FROM t a JOIN t b ON a.k = b.k AND a.r > b.r",
+        "SELECT a.v, b.v, b.x FROM t a JOIN t b ON a.r = b.r AND a.v <> b.v WHERE a.x = b.x AND a.v > 5",
+        "SELECT a.v, b.v FROM t a, t b WHERE b.k = a.k AND a.v <= b.v AND b.r < 5.0",
+        "SELECT a.v, b.v FROM t a JOIN t b USING (k, x) WHERE a.v < b.v",
+        "SELECT a.v, b.v FROM t a JOIN t b ON a.k + 1 = b.v % 3 AND a.x || 'q' < b.x || 'r' AND a.v > 3",
+        "SELECT a.v, b.v, c.v FROM t a JOIN t b ON a.k = b.k AND a.v < b.v JOIN t c ON c.x = b.x AND c.v + a.v < 30",
+        "SELECT a.k, count(*), sum(b.n) FROM t a JOIN (SELECT k AS j, v AS n FROM t WHERE v > 2) b ON a.k = b.j AND (a.v < b.n OR a.r = 3.0) GROUP BY a.k",
+    )
+    ordered = lambda q: sorted(rows(s, q), key=str)
+    plain = [ordered(q) for q in queries]
+    for name, value in (("FEW_PAIRS", 0), ("FEW_A_ROW", 0), ("LEAST_CUT", 1), ("LEAST_ROWS", 3), ("MOST_ROWS", 3)):
+        monkeypatch.setattr(dealt_join, name, value)
+    for q, rows_before in zip(queries, plain):
+        assert len(rows_before) > 3 and ordered(q) == rows_before, q
+        plan = s.query(q)._jdf.queryExecution().toString()
+        assert "__slot" in plan, q
+
+
+def test_errors_of_counted_joins_come_when_rows_are_read(s):
+    s.script("CREATE TABLE t (k INT, v TEXT); INSERT INTO t VALUES (1, 'x'), (1, '2')")
+    q = s.query("SELECT a.k FROM t a JOIN t b ON CAST(a.v AS INT) = b.k AND a.v < b.v")
+    with pytest.raises(Exception, match="x"):
+        q.collect()
