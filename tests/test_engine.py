@@ -311,3 +311,19 @@ def test_errors_of_counted_joins_come_when_rows_are_read(s):
     q = s.query("SELECT a.k FROM t a JOIN t b ON CAST(a.v AS INT) = b.k AND a.v < b.v")
     with pytest.raises(Exception, match="x"):
         q.collect()
+
+
+def test_distinct_on_takes_the_first_row_by_key(s):
+    s.script("CREATE TABLE t (a INT, k INT, c INT, PRIMARY KEY (k, a)); CREATE TABLE u (c INT, v INT)")
+    s.execute("INSERT INTO t VALUES (1, 7, 1), (2, 7, 1), (1, 9, 0)")
+    s.execute("INSERT INTO t SELECT 0, g, g % 3 FROM generate_series(100, 5000) x(g)")  # more bytes: scanned first
+    s.execute("INSERT INTO t VALUES (3, 4, 2), (2, 4, 2), (0, 7, 1)")
+    s.execute("INSERT INTO u VALUES (1, 20), (0, 30), (1, 10)")
+    first = [(0, 9, 1), (1, 7, 0), (2, 4, 2)]
+    assert sorted(rows(s, "SELECT DISTINCT ON (c) c, k, a FROM t")) == first
+    assert sorted(rows(s, "SELECT DISTINCT ON (c) c, k, a FROM (SELECT a, c, k FROM t WHERE k > 0) x")) == first
+    s.execute("CREATE VIEW w AS SELECT c, a, k FROM t")
+    assert sorted(rows(s, "SELECT DISTINCT ON (c) c, k, a FROM w WHERE k <> 4")) == [*first[:2], (2, 101, 0)]
+    assert sorted(rows(s, "SELECT DISTINCT ON (u.c) u.c, v, k FROM u JOIN t ON u.c = t.c")) == [(0, 30, 9), (1, 20, 7)]
+    assert rows(s, "SELECT DISTINCT ON (x % 2) x FROM generate_series(1, 9) g(x) ORDER BY x") == [(1,), (2,)]
+    assert len(rows(s, "SELECT DISTINCT ON (count(*)) c FROM t GROUP BY c")) in (1, 2, 3)
