@@ -327,3 +327,21 @@ def test_distinct_on_takes_the_first_row_by_key(s):
     assert sorted(rows(s, "SELECT DISTINCT ON (u.c) u.c, v, k FROM u JOIN t ON u.c = t.c")) == [(0, 30, 9), (1, 20, 7)]
     assert rows(s, "SELECT DISTINCT ON (x % 2) x FROM generate_series(1, 9) g(x) ORDER BY x") == [(1,), (2,)]
     assert len(rows(s, "SELECT DISTINCT ON (count(*)) c FROM t GROUP BY c")) in (1, 2, 3)
+
+
+def test_pairs_of_a_small_side_are_shared_among_tasks(spark, tmp_path):
+    from bisect import bisect_left
+
+    from pyspark.sql import functions as F
+
+    balance = lambda step: ((F.col("id") * step) % 10007).cast("double")
+    spark.range(1500).select("id", (F.col("id") % 2).alias("sk"), balance(37).alias("sb")).coalesce(1).write.parquet(f"{tmp_path}/s.parquet")
+    spark.range(30000).select("id", F.when(F.col("id") > 9, F.col("id") % 2).alias("ck"), F.when(F.col("id") < 20, float("nan")).otherwise(balance(91)).alias("cb")).coalesce(1).write.parquet(f"{tmp_path}/c.parquet")
+    db = Database(spark)
+    db.attach_parquet(str(tmp_path), "s", "c")
+    q = db.connect().query("SELECT s.id AS x, c.id AS y FROM s JOIN c ON sk = ck AND sb > cb")
+    got = q.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n"), F.sum("x").alias("x")).collect()
+    balances = [sorted((i * 91) % 10007 for i in range(20, 30000) if i % 2 == k) for k in (0, 1)]
+    below = [bisect_left(balances[i % 2], (i * 37) % 10007) for i in range(1500)]
+    assert [sum(r[c] for r in got) for c in ("n", "x")] == [sum(below), sum(i * n for i, n in enumerate(below))]
+    assert max(r["n"] for r in got) < 0.6 * sum(r["n"] for r in got)
